@@ -130,3 +130,107 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     counts as a letter."""
     edge = np.diff(_WORD[data].view(np.int8), prepend=np.int8(0), append=np.int8(0))
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+#: Flags of every code point, built once in a worker.
+LETTER, UPPER, NUMBER, SPACE, DIGIT = 1, 2, 4, 8, 16
+_FLAGS: np.ndarray | None = None
+
+
+def flags() -> np.ndarray:
+    """uint8 flags by code point: letter, upper-case letter, number, ASCII white space, decimal digit."""
+    global _FLAGS
+    if _FLAGS is None:
+        import sys
+        import unicodedata
+
+        cat = {"L": LETTER, "N": NUMBER}
+        a = np.array([cat.get(c[0], 0) | (UPPER if c == "Lu" else 0) | (DIGIT if c == "Nd" else 0) for c in map(unicodedata.category, map(chr, range(sys.maxunicode + 1)))], np.uint8)
+        a[[9, 10, 12, 13, 32]] |= SPACE
+        _FLAGS = a
+    return _FLAGS
+
+
+def code_points(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, code points) of consecutive texts given as UTF-8."""
+    part = data[off[0] : off[-1]]
+    starts = (part & 0xC0) != 0x80
+    if starts.all():
+        return off - off[0], part.astype(np.uint32)
+    before = np.concatenate([[0], np.cumsum(starts)])
+    return before[off - off[0]], np.frombuffer(part.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+
+
+def sums(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """How many are set in each slice."""
+    total = np.zeros(len(mask) + 1, np.int64)
+    np.cumsum(mask, out=total[1:])
+    return total[off[1:]] - total[off[:-1]]
+
+
+def added(df: DataFrame, text: str, new: str, fn) -> DataFrame:
+    """Append columns computed from a text column, batch by batch. ``fn(offsets, bytes)`` gets the
+    texts of a chunk and returns one Arrow array (or numpy array) for each field of the DDL ``new``."""
+    from pyspark.sql.types import StructType
+
+    fields = StructType.fromDDL(new).fields
+    schema = StructType(df.schema.fields + fields)
+    at = df.columns.index(text)
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            off, data = string_buffer(b.column(at))
+            got = [fn(off[i : j + 1], data) for i, j in chunks(off)]
+            cols = [pa.chunked_array([x[k] if isinstance(x[k], pa.Array) else pa.array(x[k], kinds[k]) for x in got], kinds[k]).combine_chunks() for k in range(len(fields))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *[c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols]], names=[f.name for f in schema.fields])
+
+    return df.mapInArrow(run, schema)
+
+
+def lowered(text) -> F.Column:
+    """Lower-case text ending in a line feed, so that words of two texts never touch."""
+    return F.concat(F.lower(F.coalesce(text, F.lit(""))), F.lit("\n"))
+
+
+def grouped(df: DataFrame, key: str, new: str, fn, bits: int = 0) -> DataFrame:
+    """Rows brought together by a 64-bit key, less its lowest ``bits``, and handled in whole groups: ``fn(columns)`` gets numpy
+    or Arrow columns of rows ordered by the key, every group complete, and returns arrays for the
+    DDL ``new``. Spark sorts (and spills) the partitions; a worker holds one batch and the last group."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL(new)
+    arrow = to_arrow_schema(schema)
+    names = df.columns
+    at = names.index(key)
+
+    def done(t: pa.Table) -> pa.RecordBatch:
+        cols = {}
+        for n in names:
+            c = t.column(n).combine_chunks()
+            c = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
+            cols[n] = c.to_numpy(zero_copy_only=False) if pa.types.is_primitive(c.type) else c
+        got = fn(cols)
+        return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(got, arrow)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k = b.column(at).to_numpy(zero_copy_only=False) >> bits
+            cut = int(np.searchsorted(k, k[-1], "left"))
+            if held and held[-1].column(at)[0].as_py() >> bits != k[0] and cut == 0:
+                yield done(pa.Table.from_batches(held))
+                held = []
+            if cut:
+                yield done(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                held = []
+            held.append(b.slice(cut))
+        if held:
+            yield done(pa.Table.from_batches(held))
+
+    return df.repartition(F.shiftright(key, bits) if bits else F.col(key)).sortWithinPartitions(key).mapInArrow(run, schema)
