@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near, quality, sharding
+from . import lines, near, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality.query,
         "op2_sharding": sharding.query,
+        "op7_line_dedup": lines.query,
         "op9_minhash": near.query,
     }
 
@@ -21,4 +22,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality.oracle(),
         "op2_sharding": sharding.oracle(),
+        "op7_line_dedup": lines.ORACLE,
     }
