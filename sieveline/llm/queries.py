@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, near, quality, sharding
+from . import decontam, lines, near, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality.query,
         "op2_sharding": sharding.query,
+        "op4_decontamination": decontam.query,
         "op7_line_dedup": lines.query,
         "op9_minhash": near.query,
     }
