@@ -133,20 +133,22 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Flags of every code point, built once in a worker.
-LETTER, UPPER, NUMBER, SPACE, DIGIT = 1, 2, 4, 8, 16
+LETTER, UPPER, NUMBER, SPACE, DIGIT, ODD = 1, 2, 4, 8, 16, 32
 _FLAGS: np.ndarray | None = None
 
 
 def flags() -> np.ndarray:
-    """uint8 flags by code point: letter, upper-case letter, number, ASCII white space, decimal digit."""
+    """uint8 flags by code point: letter, upper-case letter, number, ASCII white space, decimal digit, and
+    odd: numbers that are no decimal digits, and ASCII information separators."""
     global _FLAGS
     if _FLAGS is None:
         import sys
         import unicodedata
 
         cat = {"L": LETTER, "N": NUMBER}
-        a = np.array([cat.get(c[0], 0) | (UPPER if c == "Lu" else 0) | (DIGIT if c == "Nd" else 0) for c in map(unicodedata.category, map(chr, range(sys.maxunicode + 1)))], np.uint8)
+        a = np.array([cat.get(c[0], 0) | (UPPER if c == "Lu" else 0) | (DIGIT if c == "Nd" else 0) | (ODD if c in ("No", "Nl") else 0) for c in map(unicodedata.category, map(chr, range(sys.maxunicode + 1)))], np.uint8)
         a[[9, 10, 12, 13, 32]] |= SPACE
+        a[28:32] |= ODD
         _FLAGS = a
     return _FLAGS
 

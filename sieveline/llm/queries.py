@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lines, near, quality, sharding
+from . import bpe, dac, decontam, lines, near, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,7 +15,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": sharding.query,
         "op4_decontamination": decontam.query,
         "op7_line_dedup": lines.query,
+        "op8_token_codes": dac.query,
         "op9_minhash": near.query,
+        "op10_bpe": bpe.query,
     }
 
 
