@@ -13,7 +13,8 @@ from the sketch of the document's (language, source), or of its language, or of
 first that saw at least MIN_DOCS documents. Documents above any cutoff are rejected by a join with
 the cutoffs.
 
-Only the small sketch is shuffled. Texts are read twice and never moved: the table of cutoffs
+The measures come from numpy over the code points of whole Arrow batches (the same as built-in
+regular-expression functions cost about fifteen times the CPU). Only the small sketch is shuffled. Texts are read twice and never moved: the table of cutoffs
 (languages x sources rows) is broadcast if its counted size allows, else joined by shuffle.
 
 Defined cases: a null or blank text is rejected; a null language or source forms its own group;
@@ -23,31 +24,70 @@ repeated rows are each judged; an empty table gives an empty result; extra colum
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small, written
+from .common import LETTER, NUMBER, SPACE, UPPER, Slices, added, code_points, flags, read, small, sums, written
 
 SPREAD = 4
 MIN_DOCS = 100
 FLOORS = {"symbol": 600, "upper": 1500, "repeat": 1000, "dupline": 3000}
-
-
-def measures(text: Column) -> dict[str, Column]:
-    """Integer measures; all from built-in functions."""
-    left = lambda keep: F.length(F.regexp_replace(text, keep, ""))
-    words = F.split(F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), r"[.,!?;:]", ""), " ")
-    lines = F.split(text, "\n")
-    part = lambda a, b: F.floor(a * 10000 / b).cast("int")
-    return {
-        "symbol": part(left(r"[\p{L}\p{N}\s.,]+"), F.length(text) + 40),
-        "upper": part(left(r"\P{Lu}+"), left(r"\P{L}+") + 20),
-        "repeat": part(
-            F.size(F.filter(F.arrays_zip(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))).alias("a"), F.slice(words, 2, F.size(words)).alias("b")), lambda p: p["a"] == p["b"])),
-            F.size(words) + 5,
-        ),
-        "dupline": part(F.size(lines) - F.size(F.array_distinct(lines)), F.size(lines) + 3),
-    }
+#: Taken out of words before they are compared.
+PUNCTUATION = np.array([ord(c) for c in ".,!?;:"], np.uint32)
+
+
+def measure(off: np.ndarray, data: np.ndarray) -> list[np.ndarray]:
+    """The integer measures of consecutive texts, in the order of FLOORS."""
+    at, cp = code_points(off, data)
+    kind = flags()[cp]
+    chars, letters = np.diff(at), sums(kind & LETTER > 0, at)
+    plain = (kind & (LETTER | NUMBER | SPACE) > 0) | (cp == 46) | (cp == 44)
+    # words: punctuation taken out, then runs without white space
+    kept = ~np.isin(cp, PUNCTUATION)
+    wat = np.concatenate([[0], np.cumsum(kept)])[at]
+    wcp = cp[kept]
+    inside = (kind[kept] & SPACE) == 0
+    edge = inside.copy()
+    edge[1:] &= ~inside[:-1]
+    edge[wat[:-1][wat[:-1] < len(edge)]] = inside[wat[:-1][wat[:-1] < len(edge)]]
+    start = np.flatnonzero(edge)
+    last = inside.copy()
+    last[:-1] &= ~inside[1:]
+    tails = wat[1:][wat[1:] > 0] - 1
+    last[tails] = inside[tails]
+    end = np.flatnonzero(last) + 1
+    doc = np.searchsorted(wat, start, "right") - 1
+    h = Slices(wcp)(start, end)
+    same = np.zeros(len(at) - 1, np.int64)
+    if len(h) > 1:
+        np.add.at(same, doc[1:][(h[1:] == h[:-1]) & (doc[1:] == doc[:-1])], 1)
+    words = np.bincount(doc, minlength=len(at) - 1)
+    # lines
+    cut = np.flatnonzero(cp == 10)
+    ldoc = np.concatenate([np.searchsorted(at, cut, "right") - 1, np.arange(len(at) - 1)])
+    lend = np.concatenate([cut, at[1:]])
+    order = np.lexsort((lend, ldoc))
+    ldoc, lend = ldoc[order], lend[order]
+    lstart = np.empty_like(lend)
+    lstart[1:] = lend[:-1] + 1
+    first = np.ones(len(ldoc), bool)
+    first[1:] = ldoc[1:] != ldoc[:-1]
+    lstart[first] = at[:-1][ldoc[first]]
+    lh = Slices(cp)(lstart, lend)
+    o = np.lexsort((lh, ldoc))
+    again = (lh[o][1:] == lh[o][:-1]) & (ldoc[o][1:] == ldoc[o][:-1])
+    dup = np.bincount(ldoc[o][1:][again], minlength=len(at) - 1)
+    lines = np.bincount(ldoc, minlength=len(at) - 1)
+    part = lambda a, b: (a * 10000 // b).astype(np.int32)
+    return [part(sums(~plain, at), chars + 40), part(sums(kind & UPPER > 0, at), letters + 20), part(same, words + 5), part(dup, lines + 3)]
+
+
+def measured(df: DataFrame, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` of the documents with text, their group, and the measures as ``__q_*``."""
+    some = _groups(df.where(F.col("text").rlike(r"\S")))
+    out = added(some, "text", ", ".join(f"__q_{k} int" for k in FLOORS), measure)
+    return out.select(*keep, "__q_lang", "__q_source", *[f"__q_{k}" for k in FLOORS])
 
 
 def bucket(v: Column) -> Column:
@@ -63,10 +103,8 @@ def _groups(df: DataFrame) -> DataFrame:
 
 def sketches(df: DataFrame) -> DataFrame:
     """(lang, source, measure, bucket, n): the mergeable sketch of every group."""
-    kept = _groups(df.where(F.col("text").rlike(r"\S")))
-    m = measures(F.col("text"))
-    long = kept.select("__q_lang", "__q_source", *[bucket(c).alias(k) for k, c in m.items()])
-    stacked = long.select("__q_lang", "__q_source", F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(k).alias("bucket")) for k in m])).alias("x"))
+    long = measured(df.select("text", "lang", "source"), [])
+    stacked = long.select("__q_lang", "__q_source", F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), bucket(F.col(f"__q_{k}")).alias("bucket")) for k in FLOORS])).alias("x"))
     return stacked.groupBy(F.col("__q_lang").alias("lang"), F.col("__q_source").alias("source"), F.col("x.measure").alias("measure"), F.col("x.bucket").alias("bucket")).agg(F.count("*").alias("n"))
 
 
@@ -94,15 +132,14 @@ def cutoffs(df: DataFrame) -> DataFrame:
     return j.select(F.col("lang").alias("__q_lang"), F.col("source").alias("__q_source"), *[pick(f"cut_{k}").alias(f"cut_{k}") for k in FLOORS])
 
 
-def judged(df: DataFrame) -> DataFrame:
+def judged(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Documents with their measures and cutoffs, only those within every cutoff."""
     cut = small(cutoffs(df), "quality-cutoffs")
-    kept = _groups(df.where(F.col("text").rlike(r"\S")))
-    measured = kept.withColumns({f"__q_{k}": c for k, c in measures(F.col("text")).items()})
+    found = measured(df, df.columns if keep is None else keep)
     ok = F.lit(True)
     for k in FLOORS:
         ok &= F.col(f"__q_{k}") <= F.col(f"cut_{k}")
-    return measured.join(cut.select("__q_lang", "__q_source", *[F.col(f"cut_{k}") for k in FLOORS]), ["__q_lang", "__q_source"]).where(ok)
+    return found.join(cut.select("__q_lang", "__q_source", *[F.col(f"cut_{k}") for k in FLOORS]), ["__q_lang", "__q_source"]).where(ok)
 
 
 def filtered(df: DataFrame) -> DataFrame:
@@ -115,7 +152,7 @@ def filtered(df: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that passes, with its measures and the cutoffs it was held against."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    return judged(docs).select("doc_id", "lang", "source", *[F.col(f"__q_{k}").alias(k) for k in FLOORS], *[f"cut_{k}" for k in FLOORS])
+    return judged(docs, ["doc_id", "lang", "source"]).select("doc_id", "lang", "source", *[F.col(f"__q_{k}").alias(k) for k in FLOORS], *[f"cut_{k}" for k in FLOORS])
 
 
 def oracle_ctes(table: str = "documents") -> str:
@@ -131,7 +168,7 @@ def oracle_ctes(table: str = "documents") -> str:
     pick = lambda k: f"CASE WHEN f.docs >= {MIN_DOCS} THEN f.cut_{k} WHEN l.docs >= {MIN_DOCS} THEN l.cut_{k} ELSE w.cut_{k} END::INT AS cut_{k}"
     return f"""
 q_words AS (SELECT *, coalesce(lang, '') AS q_lang, coalesce(source, '') AS q_source,
-  string_split(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '), '[.,!?;:]', '', 'g'), ' ') AS words, string_split(text, chr(10)) AS lines
+  list_filter(string_split(regexp_replace(regexp_replace(text, '[.,!?;:]', '', 'g'), '\\s+', ' ', 'g'), ' '), lambda w: w <> '') AS words, string_split(text, chr(10)) AS lines
   FROM {table} WHERE regexp_matches(text, '\\S')),
 q_m AS (SELECT * EXCLUDE (words, lines),
   {part(left('[\\p{L}\\p{N}\\s.,]+'), 'length(text) + 40')} AS symbol,
