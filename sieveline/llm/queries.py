@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dac, decontam, lines, near, quality, sharding
+from . import bpe, dac, decontam, licences, lines, near, pii, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality.query,
         "op2_sharding": sharding.query,
+        "op3_licences": licences.query,
         "op4_decontamination": decontam.query,
+        "op5_pii_surrogates": pii.query,
         "op7_line_dedup": lines.query,
         "op8_token_codes": dac.query,
         "op9_minhash": near.query,
