@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dac, decontam, licences, lines, near, pii, quality, sharding
+from . import bpe, dac, decontam, langid, licences, lines, near, pii, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_licences": licences.query,
         "op4_decontamination": decontam.query,
         "op5_pii_surrogates": pii.query,
+        "op6_language_id": langid.query,
         "op7_line_dedup": lines.query,
         "op8_token_codes": dac.query,
         "op9_minhash": near.query,
