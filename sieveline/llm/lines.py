@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,9 +38,10 @@ MIN_BYTES = 40
 #: Hashes of lines whose texts are wanted are broadcast up to this many.
 WANTED_ROWS = 1_000_000
 
-_NIBBLE = np.zeros(256, np.uint64)
+#: Four classes of letters, counted two at a time in the halves of a word.
+_CLASSES = np.zeros((2, 256), np.uint64)
 for _c in range(97, 123):
-    _NIBBLE[_c] = 1 + (_c * 7) % 4
+    _CLASSES[_c * 7 % 2, _c] = 1 << (32 * (_c * 7 // 2 % 2))
 
 
 def line_spans(off: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -66,10 +68,12 @@ def keys(part: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
     sl = Slices(part)
     n = end - start
     low = np.zeros(len(n), np.uint64)
-    for k in range(4):
-        total = np.zeros(len(part) + 1, np.int64)
-        np.cumsum(_NIBBLE[part] == k + 1, out=total[1:])
-        low |= ((total[end] - total[start]).astype(np.uint64) & np.uint64(15)) << np.uint64(4 * k)
+    total = np.zeros(len(part) + 1, np.uint64)
+    for k in range(2):
+        np.cumsum(_CLASSES[k][part], out=total[1:])
+        both = total[end] - total[start]
+        low |= (both & np.uint64(15)) << np.uint64(8 * k)
+        low |= (both >> np.uint64(32) & np.uint64(15)) << np.uint64(8 * k + 4)
     low |= (n.astype(np.uint64) & np.uint64(3)) << np.uint64(16)
     rows, words = [], []
     for less in range(EDITS + 1):
@@ -112,15 +116,25 @@ def _keys(batches):
             yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(h[row].view(np.int64))], names=["word", "line"])
 
 
-def _texts(batches):
-    for b in batches:
-        off, data = string_buffer(b.column(1))
-        for i, j in chunks(off):
-            part = data[off[i] : off[j]]
-            _, _, start, end = line_spans(off[i : j + 1], part)
-            h, one = np.unique(Slices(part)(start, end), return_index=True)
-            raw = part.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([raw[s:e] for s, e in zip(start[one], end[one])], pa.binary())], names=["line", "bytes"])
+def _texts(wanted):
+    """Lines of the texts with their bytes; only those whose hash is in ``wanted``, if given."""
+
+    def run(batches):
+        for b in batches:
+            off, data = string_buffer(b.column(1))
+            for i, j in chunks(off):
+                part = data[off[i] : off[j]]
+                _, _, start, end = line_spans(off[i : j + 1], part)
+                h, one = np.unique(Slices(part)(start, end).view(np.int64), return_index=True)
+                if wanted is not None:
+                    w = wanted.value
+                    at = np.minimum(np.searchsorted(w, h), max(len(w) - 1, 0))
+                    ok = w[at] == h if len(w) else np.zeros(len(h), bool)
+                    h, one = h[ok], one[ok]
+                raw = part.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([raw[s:e] for s, e in zip(start[one].tolist(), end[one].tolist())], pa.binary())], names=["line", "bytes"])
+
+    return run
 
 
 def _possible(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -207,8 +221,13 @@ def near_lines(texts: DataFrame) -> DataFrame:
     """(a, b): hashes of different lines within EDITS edits."""
     rows = texts.mapInArrow(_keys, "word bigint, line bigint")
     cand = written(grouped(rows, "word", "a bigint, b bigint", _candidates, bits=20).distinct(), "lines-candidates")
-    wanted = small(cand.select(F.explode(F.array("a", "b")).alias("line")).distinct(), "lines-wanted", WANTED_ROWS)
-    held = written(texts.mapInArrow(_texts, "line bigint, bytes binary").join(wanted, "line", "left_semi").groupBy("line").agg(F.min("bytes").alias("bytes")), "lines-texts")
+    wanted = written(cand.select(F.explode(F.array("a", "b")).alias("line")).distinct(), "lines-wanted")
+    if wanted.count() <= WANTED_ROWS:
+        near = texts.sparkSession.sparkContext.broadcast(np.sort(wanted.toPandas()["line"].to_numpy(np.int64)))
+        lines = texts.mapInArrow(_texts(near), "line bigint, bytes binary")
+    else:
+        lines = texts.mapInArrow(_texts(None), "line bigint, bytes binary").join(wanted, "line", "left_semi")
+    held = written(lines.groupBy("line").agg(F.min("bytes").alias("bytes")), "lines-texts")
     left, right = (held.select(F.col("line").alias(k), F.col("bytes").alias(f"t{k}")) for k in "ab")
     return cand.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verified, "a bigint, b bigint")
 
@@ -233,26 +252,29 @@ def deduped(docs: DataFrame) -> DataFrame:
     """``docs`` without removed lines, plus ``__l_removed``, how many went."""
     names = docs.columns
     at = names.index("text")
-    plain = docs.join(removed(docs), "doc_id", "left").select(*names, lowered(F.col("text")).alias("__l_low"), "__l_numbers", "__l_lines")
+    low = F.when(F.col("__l_numbers").isNotNull(), lowered(F.col("text")))
+    plain = docs.join(removed(docs), "doc_id", "left").select(*names, low.alias("__l_low"), "__l_numbers", "__l_lines")
     from pyspark.sql.types import IntegerType, StructField, StructType
 
     schema = StructType([*docs.schema.fields, StructField("__l_removed", IntegerType())])
 
     def run(batches):
         for b in batches:
-            text, low, numbers, lines = (b.column(k).to_pylist() for k in (at, len(names), len(names) + 1, len(names) + 2))
+            hit = np.flatnonzero(b.column(len(names) + 1).is_valid().to_numpy(zero_copy_only=False) & b.column(at).is_valid().to_numpy(zero_copy_only=False))
             gone = np.zeros(b.num_rows, np.int32)
-            for r, x in enumerate(numbers):
-                if not x or text[r] is None:
-                    continue
-                raw = np.frombuffer(low[r].encode(), np.uint8)
+            new = []
+            for r, text, low, x, h in zip(hit, *[b.column(k).take(pa.array(hit)).to_pylist() for k in (at, len(names), len(names) + 1, len(names) + 2)]):
+                raw = np.frombuffer(low.encode(), np.uint8)
                 _, number, s, e = line_spans(np.array([0, len(raw)]), raw)
                 now = dict(zip(number.tolist(), Slices(raw)(s, e).view(np.int64).tolist()))
-                out = {n for n, h in zip(x, lines[r]) if now.get(n) == h}
-                text[r] = "\n".join(y for n, y in enumerate(text[r].split("\n")) if n not in out)
+                out = {n for n, v in zip(x, h) if now.get(n) == v}
+                new.append("\n".join(y for n, y in enumerate(text.split("\n")) if n not in out))
                 gone[r] = len(out)
             cols = b.columns[: len(names)]
-            cols[at] = pa.array(text, pa.string())
+            if len(hit):
+                mask = np.zeros(b.num_rows, bool)
+                mask[hit] = True
+                cols[at] = pa.compute.replace_with_mask(cols[at], pa.array(mask), pa.array(new, cols[at].type))
             yield pa.RecordBatch.from_arrays([*cols, pa.array(gone)], names=[f.name for f in schema.fields])
 
     return plain.mapInArrow(run, schema)
