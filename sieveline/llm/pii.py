@@ -59,6 +59,8 @@ SYLLABLES = {
     "greek": ("Αλ Βελ Γαλ Δελ Καρ Λαμ Μαρ Νικ Παπ Σαρ".split(), "α ε ι ο".split(), "ίδης όπουλος άκης ίου".split()),
 }
 _ALL_TITLES = {t: g for g, ts in TITLES.items() for t in ts}
+#: Titles that are also written in capitals; those of the rest are ordinary words.
+_ALL_TITLES |= {t.upper(): _ALL_TITLES[t] for t in ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Mlle", "Señor", "Señora", "Sr", "Sra")}
 _GENDER = {n.lower(): g for (_, g), names in GIVEN.items() for n in names}
 
 _NAME = r"[^\W\d_a-zà-öø-ÿа-яё][^\W\d_]+(?:[-'’][^\W\d_]+)?"
@@ -78,6 +80,8 @@ _DIGITAL = re.compile(
         )
     )
 )
+#: The country code of an international number; empty for others.
+_COUNTRY = re.compile(r"(?:\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}))?")
 _PEOPLE = re.compile(f"{_PERSON}|{_FULL}")
 #: Digits or an at sign: without one no pattern of _DIGITAL can match.
 _MARK = np.zeros(256, bool)
@@ -180,7 +184,7 @@ def surrogate(key: bytes, kind: str, entity: str, gender: str, attempt: int) ->
             return f"{entity[:2]}{98 - n % 97:02d}{body}"
         return entity[:2] + "".join(str(d.below(10)) for _ in range(2)) + body
     if kind == "PHONE":
-        keep = 2 if entity.startswith("+") else 0
+        keep = len(_COUNTRY.match(entity)[0])
         return entity[:keep] + "".join(map(alike, entity[keep:]))
     if kind == "PERSON":
         s = script(entity)
