@@ -48,7 +48,7 @@ class Dialect:
         return f"split({v}, {self.regex(at)})" if self.spark else f"regexp_split_to_array({v}, {self.regex(at)})"
 
     def fn(self, args: str, body: str) -> str:
-        return f"({args}) -> {body}" if self.spark else f"lambda {args}: {body}"
+        return f"{f'({args})' if ',' in args else args} -> {body}" if self.spark else f"lambda {args}: {body}"
 
     def map(self, a: str, x: str, body: str) -> str:
         return f"transform({a}, {self.fn(x, body)})" if self.spark else f"list_transform({a}, {self.fn(x, body)})"
@@ -60,6 +60,10 @@ class Dialect:
         """Sum of an array of doubles."""
         return f"aggregate({a}, 0D, (a_, x_) -> a_ + x_)" if self.spark else f"coalesce(list_sum({a}), 0.0)"
 
+    def fold(self, a: str, args: str, body: str) -> str:
+        """An array of integers folded from 0; ``args``: the names of the state and the element."""
+        return f"aggregate({a}, CAST(0 AS BIGINT), {self.fn(args, body)})" if self.spark else f"list_reduce(list_prepend(CAST(0 AS BIGINT), {a}), {self.fn(args, body)})"
+
     def distinct(self, a: str) -> str:
         return f"array_distinct({a})" if self.spark else f"list_distinct({a})"
 
@@ -82,5 +86,48 @@ class Dialect:
     def contains(self, v: str, s: str) -> str:
         return f"contains({v}, {self.text(s)})"
 
+    def explode(self, a: str) -> str:
+        """One row for each element, in a select list."""
+        return f"explode({a})" if self.spark else f"unnest({a})"
+
+    def array(self, items) -> str:
+        return f"array({', '.join(items)})" if self.spark else f"[{', '.join(items)}]"
+
+    def range(self, n: str) -> str:
+        """1 .. n; empty for n < 1."""
+        return f"(CASE WHEN {n} < 1 THEN array() ELSE sequence(1, {n}) END)" if self.spark else f"range(1, {n} + 1)"
+
+    def joined(self, a: str, start: str, size: str, by: str) -> str:
+        """``size`` elements from place ``start``, counted from 1, as one text."""
+        return f"array_join(slice({a}, {start}, {size}), '{by}')" if self.spark else f"array_to_string(list_slice({a}, {start}, {start} + {size} - 1), '{by}')"
+
+    def collect(self, v: str, order: str, most: int | None = None) -> str:
+        """Aggregate: values in an order, at most so many."""
+        if self.spark:
+            a = f"transform(sort_array(collect_list(struct({order} AS o_, {v} AS v_))), x_ -> x_.v_)"
+            return f"slice({a}, 1, {most})" if most else a
+        a = f"list({v} ORDER BY {order})"
+        return f"list_slice({a}, 1, {most})" if most else a
+
+    def sorted_set(self, v: str) -> str:
+        """Aggregate: distinct values in order."""
+        return f"sort_array(collect_set({v}))" if self.spark else f"coalesce(list_sort(list(DISTINCT {v}) FILTER ({v} IS NOT NULL)), [])"
+
+    def flat_set(self, a: str) -> str:
+        """Aggregate: distinct elements of arrays, in order."""
+        return f"sort_array(array_distinct(flatten(collect_list({a}))))" if self.spark else f"list_sort(list_distinct(flatten(list({a}))))"
+
+    def overlap(self, a: str, b: str) -> str:
+        return f"arrays_overlap({a}, {b})" if self.spark else f"list_has_any({a}, {b})"
+
+    def texts(self, items) -> str:
+        """An array of literals."""
+        return self.array([self.text(x) for x in items]) if items else ("CAST(array() AS array<string>)" if self.spark else "CAST([] AS VARCHAR[])")
+
+    def values(self, rows, names) -> str:
+        """A small table of literals."""
+        lit = lambda x: "NULL" if x is None else self.text(x) if isinstance(x, str) else f"CAST({x} AS DOUBLE)" if isinstance(x, float) else str(x)
+        return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS v_({', '.join(names)}))"
+
 
 SPARK, DUCK = Dialect(True), Dialect(False)

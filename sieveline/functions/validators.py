@@ -107,11 +107,8 @@ def iban_checksum(q: Dialect, v: str) -> str:
     """Up to the 34 characters an IBAN can have."""
     c = f"upper({q.replace(v, '[ -]')})"
     turned = f"concat(substr({c}, 5), substr({c}, 1, 4))"
-    total = "CAST(0 AS BIGINT)"
-    for i in range(1, 35):
-        place = f"(instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', substr({turned}, {i}, 1)) - 1)"
-        inside = f"length({c}) >= {i}"
-        total = f"(({total} * (CASE WHEN NOT {inside} THEN 1 WHEN {place} > 9 THEN 100 ELSE 10 END) + (CASE WHEN {inside} THEN {place} ELSE 0 END)) % 97)"
+    places = q.map(q.chars(turned), "c_", "CAST(instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c_) - 1 AS BIGINT)")
+    total = q.fold(places, "a_, x_", "CAST((a_ * (CASE WHEN x_ > 9 THEN 100 ELSE 10 END) + x_) % 97 AS BIGINT)")
     return _when(q.like(c, "^[0-9A-Z]{5,34}$"), f"{total} = 1")
 
 

@@ -7,6 +7,7 @@ digit, ``%h`` and ``%H`` hexadecimal in lower and in either case, ``%%`` a per c
 
 from __future__ import annotations
 
+import base64
 import re
 from functools import cache
 from pathlib import Path
@@ -78,9 +79,17 @@ def key_names() -> tuple[tuple[str, str, float, str, str], ...]:
     return tuple(sorted(out, key=lambda x: (-x[2], x[0], x[1])))
 
 
+def decode(value: str) -> str:
+    """A literal kept as ``xor:`` (every byte with 0x5A, then base-64) or ``b64:``; others as they are."""
+    kind, _, body = value.partition(":")
+    if kind == "b64":
+        return base64.b64decode(body).decode()
+    return bytes(b ^ 0x5A for b in base64.b64decode(body)).decode() if kind == "xor" else value
+
+
 @cache
 def stopwords() -> list[str]:
-    return sorted({w.strip().lower() for w in _lines("stopwords.txt")})
+    return sorted({decode(w).strip().lower() for w in _lines("stopwords.txt")})
 
 
 @cache
