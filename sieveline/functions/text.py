@@ -189,20 +189,31 @@ def key_score(q: Dialect, key: str) -> str:
     return f"element_at({q.map(f'array({k})', 'k_', body)}, 1)" if q.spark else f"list_transform([{k}], lambda k_: {body})[1]"
 
 
-def tiered_score(q: Dialect, score: str, tier: str, v: str) -> str:
-    """Confidence that a value under a key of this score and tier is a secret."""
-    rel, div = relative_entropy(q, v), diversity(q, v)
-    bonus = f"0.15 * {evenness(q, v)} + 0.05 * greatest(0, {div} - 3)"
-    return f"""(CASE WHEN {obviously_not_secret(q, v)} THEN CAST(0 AS DOUBLE)
+def measures(q: Dialect, v: str) -> str:
+    """Select list of what the scores need: rel_, div_, even_ and obvious_. Kept in a select of its own, so
+    that each is computed once and no generated method grows too large."""
+    return f"{relative_entropy(q, v)} AS rel_, {diversity(q, v)} AS div_, {evenness(q, v)} AS even_, {obviously_not_secret(q, v)} AS obvious_"
+
+
+def tiered_score(score: str, tier: str) -> str:
+    """Confidence that a value with these ``measures`` under a key of this score and tier is a secret."""
+    bonus = "0.15 * even_ + 0.05 * greatest(0, div_ - 3)"
+    return f"""(CASE WHEN obvious_ THEN CAST(0 AS DOUBLE)
 WHEN {tier} = 'definitive' THEN {score} * 0.95
-WHEN {tier} = 'strong' AND ({rel} >= 0.5 OR {div} >= 3) THEN least(CAST(1 AS DOUBLE), {score} * greatest(CAST(0.6 AS DOUBLE), {relative_score(rel)}) + {bonus})
-WHEN {tier} = 'contextual' AND {rel} >= 0.7 AND {div} >= 3 THEN least(CAST(1 AS DOUBLE), {score} * {relative_score(rel)} + {bonus})
+WHEN {tier} = 'strong' AND (rel_ >= 0.5 OR div_ >= 3) THEN least(CAST(1 AS DOUBLE), {score} * greatest(CAST(0.6 AS DOUBLE), {relative_score('rel_')}) + {bonus})
+WHEN {tier} = 'contextual' AND rel_ >= 0.7 AND div_ >= 3 THEN least(CAST(1 AS DOUBLE), {score} * {relative_score('rel_')} + {bonus})
 ELSE CAST(0 AS DOUBLE) END)"""
 
 
 def opaque_confidence(q: Dialect, v: str, floor: float = 0.7, classes_: int = 3, base: float = 0.65, most: float = 0.85) -> str:
-    """Confidence that a bare token is a secret; 0 if it is none."""
-    rel, div = relative_entropy(q, v), diversity(q, v)
-    gate = f"length({v}) BETWEEN 16 AND 512 AND {rel} >= {floor} AND {div} >= {classes_} AND NOT {q.like(v, '^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$')} AND NOT {contains_any(q, f'lower({v})', ANTI_INDICATORS)} AND NOT {placeholder(q, v)} AND NOT {obviously_not_secret(q, v)}"
-    add = f"CAST({base} AS DOUBLE) + (CASE WHEN {rel} > 0.85 THEN 0.1 ELSE 0.0 END) + greatest(0, {div} - {classes_}) * 0.05 + (CASE WHEN length({v}) > 24 THEN 0.05 ELSE 0.0 END)"
+    """Confidence that a bare token with its ``measures`` is a secret; 0 if it is none."""
+    gate = f"length({v}) BETWEEN 16 AND 512 AND rel_ >= {floor} AND div_ >= {classes_} AND NOT obvious_ AND NOT {q.like(v, '^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$')} AND NOT {contains_any(q, f'lower({v})', ANTI_INDICATORS)} AND NOT {placeholder(q, v)}"
+    add = f"CAST({base} AS DOUBLE) + (CASE WHEN rel_ > 0.85 THEN 0.1 ELSE 0.0 END) + greatest(0, div_ - {classes_}) * 0.05 + (CASE WHEN length({v}) > 24 THEN 0.05 ELSE 0.0 END)"
     return f"(CASE WHEN {gate} THEN least(CAST({most} AS DOUBLE), {add}) ELSE CAST(0 AS DOUBLE) END)"
+
+
+def context_adjustment(q: Dialect, v: str, boost: list[str], suppress: list[str]) -> str:
+    """What words beside a match add to its confidence: 0.3 for a word that supports it, else -0.3 for one against."""
+    words = q.split(f"lower({v})", r"\s+")
+    test = lambda ws: q.overlap(words, q.texts([w.lower() for w in ws])) if ws else "false"
+    return f"(CASE WHEN {test(boost)} THEN 0.3 WHEN {test(suppress)} THEN -0.3 ELSE 0.0 END)"

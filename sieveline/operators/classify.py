@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dialect import SPARK, Dialect
-from ..plans.sql import chain, over
+from ..plans.sql import chain, staged
 from ..sources.columns import sources
 from . import engines, passes
 from .engines import FIELDS
@@ -29,8 +29,13 @@ def classify_sql(q: Dialect, columns: str, samples: str, least: float = 0.5, cat
 
 def classify(columns: DataFrame, samples: DataFrame, min_confidence: float = 0.5, categories: list[str] | None = None, max_findings: int | None = None, confidence_gap: float = 0.3, aggressive: bool = False, model: DataFrame | None = None) -> DataFrame:
     """Labels of columns, best first. ``model``: findings of a plugged-in model, joined like an engine's."""
-    tables = {"c": columns, "s": samples} | ({"m": model} if model is not None else {})
-    return over(columns.sparkSession, lambda c, s, m=None: classify_sql(SPARK, c, s, min_confidence, categories, max_findings, confidence_gap, aggressive, m), **tables)
+    return _staged(columns, samples, passes.ranked(SPARK, "final", max_findings, confidence_gap, aggressive), min_confidence, categories, model)
+
+
+def _staged(columns: DataFrame, samples: DataFrame, last: str, least: float = 0.5, categories: list[str] | None = None, model: DataFrame | None = None) -> DataFrame:
+    tables = {"columns_": columns, "samples_": samples} | ({"model_": model} if model is not None else {})
+    steps = raw_steps(SPARK, "columns_", "samples_", least, "model_" if model is not None else None) + passes.steps(SPARK, "raw", "columns_", least, categories)
+    return staged(columns.sparkSession, steps, last, passes.CUTS, **tables)
 
 
 def classify_tables(spark: SparkSession, tables: Mapping[str, DataFrame], group: str = "", n: int = 100, **options) -> DataFrame:
@@ -41,14 +46,12 @@ def classify_tables(spark: SparkSession, tables: Mapping[str, DataFrame], group:
 
 def tier_gate(columns: DataFrame, samples: DataFrame, min_confidence: float = 0.5) -> DataFrame:
     """The observed-only gate of credential columns."""
-    steps = lambda c, s: raw_steps(SPARK, c, s, min_confidence) + passes.steps(SPARK, "raw", c, min_confidence)
-    return over(columns.sparkSession, lambda c, s: chain(steps(c, s), passes.gate(SPARK, "f18", "f2")), c=columns, s=samples)
+    return _staged(columns, samples, passes.gate(SPARK, "f18", "f2"), min_confidence)
 
 
 def column_shapes(columns: DataFrame, samples: DataFrame, min_confidence: float = 0.5) -> DataFrame:
     """(column_id, shape, n_types, hinted)."""
-    steps = lambda c, s: raw_steps(SPARK, c, s, min_confidence) + passes.steps(SPARK, "raw", c, min_confidence)
-    return over(columns.sparkSession, lambda c, s: chain(steps(c, s), "SELECT * FROM shape"), c=columns, s=samples)
+    return _staged(columns, samples, "SELECT * FROM shape", min_confidence)
 
 
 def health_check(spark: SparkSession) -> dict:

@@ -110,7 +110,8 @@ def by_secret(q: Dialect, columns: str, samples: str, least: float = 0.5) -> lis
         ("sp", f"SELECT column_id, pos, {key} AS name, {val} AS value FROM {samples} WHERE {q.like('value', _PAIR)} UNION ALL SELECT s.column_id, pos, column_name AS name, value FROM {samples} s JOIN {columns} c ON s.column_id = c.column_id WHERE value IS NOT NULL AND NOT {q.like('value', _PAIR)}"),
         ("sk", "SELECT name, " + T.key_score(q, "name") + " AS best FROM (SELECT DISTINCT name FROM sp) AS names_"),
         ("sq", f"SELECT p.column_id, pos, value, {q.double(f'{q.split("best", "[|]")}[{0 if q.spark else 1}]')} AS score, {q.split('best', '[|]')}[{1 if q.spark else 2}] AS tier, {q.split('best', '[|]')}[{2 if q.spark else 3}] AS subtype FROM sp p JOIN sk k ON p.name = k.name WHERE {where.replace('name', 'p.name')}"),
-        ("st", f"SELECT *, {T.tiered_score(q, 'score', 'tier', 'value')} AS conf FROM sq WHERE score > 0"),
+        ("sm", f"SELECT *, {T.measures(q, 'value')} FROM sq WHERE score > 0"),
+        ("st", f"SELECT *, {T.tiered_score('score', 'tier')} AS conf FROM sm"),
         ("sn", f"SELECT column_id, count(*) AS scanned FROM {samples} WHERE value IS NOT NULL GROUP BY column_id"),
         ("sa", f"SELECT column_id, subtype, max(conf) AS conf, count(*) AS matched, {q.collect('value', 'pos', 5)} AS matches FROM st WHERE conf > 0 GROUP BY column_id, subtype"),
         ("by_secret", f"SELECT {_finding(q, column_id='a.column_id', entity_type='subtype', category=q.text('Credential'), sensitivity=q.text('CRITICAL'), confidence='round(conf, 4)', engine=q.text('secret_scanner'), authority='1', seq='6000', matched='CAST(matched AS BIGINT)', validated='CAST(matched AS BIGINT)', scanned='CAST(scanned AS BIGINT)', matches='matches')} FROM sa a JOIN sn n ON a.column_id = n.column_id WHERE conf >= {least}"),

@@ -47,12 +47,12 @@ def merged(q: Dialect, src: str) -> str:
 def weighted(q: Dialect, src: str, raw: str, skip: str) -> str:
     """An authoritative engine silences others that disagree, and gains from those that agree. ``skip``: a
     relation of the column_ids that are heterogeneous text."""
-    cols = ", ".join(f"f.{c} AS {c}" if c != "confidence" else "CASE WHEN act AND t.entity_type IS NOT NULL THEN least(CAST(1 AS DOUBLE), f.confidence + 0.05 * coalesce(b.n, 0)) ELSE f.confidence END AS confidence" for c in FIELDS)
-    return f"""SELECT {cols} FROM (SELECT w.*, w.top >= 8 AND e.engines >= 2 AND s.column_id IS NULL AS act FROM (SELECT *, max(authority) OVER (PARTITION BY column_id) AS top FROM {src}) w
+    cols = ", ".join(f"f.{c} AS {c}" if c != "confidence" else "CASE WHEN act_ AND own_ = 1 THEN least(CAST(1 AS DOUBLE), f.confidence + 0.05 * coalesce(b.n, 0)) ELSE f.confidence END AS confidence" for c in FIELDS)
+    # the merge keeps every finding of the highest authority, so the top is the same before and after it
+    return f"""SELECT {cols} FROM (SELECT w.*, max(CASE WHEN w.authority = w.top_ THEN 1 ELSE 0 END) OVER (PARTITION BY w.column_id, w.entity_type) AS own_, w.top_ >= 8 AND e.engines >= 2 AND s.column_id IS NULL AS act_ FROM (SELECT *, max(authority) OVER (PARTITION BY column_id) AS top_ FROM {src}) w
 JOIN (SELECT column_id, count(DISTINCT engine) AS engines FROM {raw} GROUP BY column_id) e ON w.column_id = e.column_id LEFT JOIN {skip} s ON w.column_id = s.column_id) f
-LEFT JOIN (SELECT DISTINCT column_id, entity_type FROM (SELECT *, max(authority) OVER (PARTITION BY column_id) AS top FROM {src}) x WHERE authority = top) t ON f.column_id = t.column_id AND f.entity_type = t.entity_type
-LEFT JOIN (SELECT column_id, entity_type, count(DISTINCT engine) AS n FROM (SELECT r.column_id, r.entity_type, r.engine, r.authority, m.top FROM {raw} r JOIN (SELECT column_id, max(authority) AS top FROM {src} GROUP BY column_id) m ON r.column_id = m.column_id) y WHERE authority < top GROUP BY column_id, entity_type) b
-ON f.column_id = b.column_id AND f.entity_type = b.entity_type WHERE NOT (act AND f.authority < f.top AND f.top - f.authority >= 3 AND t.entity_type IS NULL)"""
+LEFT JOIN (SELECT column_id, entity_type, count(DISTINCT engine) AS n FROM (SELECT *, max(authority) OVER (PARTITION BY column_id) AS top_ FROM {raw}) y WHERE authority < top_ GROUP BY column_id, entity_type) b
+ON f.column_id = b.column_id AND f.entity_type = b.entity_type WHERE NOT (act_ AND f.authority < f.top_ AND f.top_ - f.authority >= 3 AND own_ = 0)"""
 
 
 def model_only(q: Dialect, src: str, raw: str, skip: str) -> str:
@@ -159,6 +159,10 @@ def ranked(q: Dialect, src: str, most: int | None = None, gap: float = 0.3, aggr
 (SELECT *, {fam} AS family, {spec} AS spec_, max(confidence) OVER (PARTITION BY column_id) AS top_, row_number() OVER (PARTITION BY column_id ORDER BY confidence DESC, seq) AS rn_ FROM {src}) a_) b_) c_ WHERE {keep}"""
 
 
+#: Steps that later ones refer to more than once; all are as small as the number of columns.
+CUTS = ("profile", "raw", "f6", "f11", "shape")
+
+
 def steps(q: Dialect, raw: str, columns: str, least: float = 0.5, categories: list[str] | None = None) -> list[tuple[str, str]]:
     """The chain from the engines' findings to ``final``. Needs ``profile``, ``nr`` and ``by_entropy``."""
     out = [

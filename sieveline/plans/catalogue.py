@@ -13,7 +13,7 @@ from ..model import FAMILY, case
 from ..operators import classify as C
 from ..operators import engines, passes, profile, rollup
 from ..sources.columns import long_sql, sample_sql
-from .sql import chain, over
+from .sql import chain, over, staged
 
 #: name -> (tables, statement(dialect, **table names))
 SQL: dict[str, tuple[tuple[str, ...], Callable[..., str]]] = {}
@@ -33,6 +33,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def run(name: str) -> Callable[[SparkSession, str], DataFrame]:
     tables, f = SQL[name]
+    if name in STAGED:
+        steps, last = STAGED[name](SPARK, **{t: t for t in tables})
+        return lambda spark, sf_dir: staged(spark, steps, last, ("made_samples", *passes.CUTS), **{t: read(spark, sf_dir, t) for t in tables})
     return lambda spark, sf_dir: over(spark, lambda **v: f(SPARK, **v), **{t: read(spark, sf_dir, t) for t in tables})
 
 
@@ -192,7 +195,7 @@ def _(q, documents):
 def _(q, documents):
     """Bare tokens that look like secrets."""
     bare = q.replace("token", r"""^["'`]+|["'`,.;:!?)\]}]+$""")
-    steps = [("t", _tokens(q, documents)), ("b", f"SELECT doc_id, {bare} AS token FROM t"), ("d", "SELECT doc_id, token, count(*) AS n FROM b WHERE length(token) >= 16 GROUP BY doc_id, token"), ("s", f"SELECT *, {T.opaque_confidence(q, 'token')} AS conf FROM d")]
+    steps = [("t", _tokens(q, documents)), ("b", f"SELECT doc_id, {bare} AS token FROM t"), ("d", "SELECT doc_id, token, count(*) AS n FROM b WHERE length(token) >= 16 GROUP BY doc_id, token"), ("m", f"SELECT *, {T.measures(q, 'token')} FROM d"), ("s", f"SELECT *, {T.opaque_confidence(q, 'token')} AS conf FROM m")]
     return chain(steps, f"SELECT doc_id, {T.mask_text(q, 'token')} AS masked, n, round(conf, 4) AS confidence FROM s WHERE conf > 0")
 
 
@@ -204,7 +207,7 @@ def _(q, orders):
     value = "CASE o_orderkey % 3 WHEN 0 THEN concat('Ab_', md5(CAST(o_orderkey AS STRING))) WHEN 1 THEN md5(CAST(o_orderkey AS STRING)) ELSE 'plain words here' END"
     steps = [("k", f"SELECT o_orderkey, {key} AS name, {value} AS value FROM {orders}"), ("s", f"SELECT *, {T.key_score(q, 'name')} AS best, {T.compound_key(q, 'name')} AS compound FROM k")]
     score, tier = q.double(f"{q.split('best', '[|]')}[{0 if q.spark else 1}]"), f"{q.split('best', '[|]')}[{1 if q.spark else 2}]"
-    return _text(q, chain([*steps, ("p", f"SELECT *, {score} AS score, {tier} AS tier FROM s")], f"SELECT o_orderkey, name, best, compound, round({T.tiered_score(q, 'score', 'tier', 'value')}, 4) AS composite FROM p"))
+    return _text(q, chain([*steps, ("p", f"SELECT *, {score} AS score, {tier} AS tier, {T.measures(q, 'value')} FROM s")], f"SELECT o_orderkey, name, best, compound, round({T.tiered_score('score', 'tier')}, 4) AS composite FROM p"))
 
 
 # -- aggregates, engines and passes -------------------------------------------------------------------
@@ -263,49 +266,63 @@ def _(q, **t):
     return chain([*_made(q, t), *profile.profile_steps(q, "made_samples"), *engines.by_entropy(q)], "SELECT column_id, entity_type, round(confidence, 3) AS confidence, matched, scanned FROM by_entropy")
 
 
-def _classified(q, t, last, **options):
-    return chain(_made(q, t) + C.raw_steps(q, "made_columns", "made_samples") + passes.steps(q, "raw", "made_columns", **options), last)
+#: Queries whose statement is run in stages on the engine: (steps, last statement) by dialect
+STAGED: dict[str, Callable] = {}
 
 
-@sql("classify_columns", *MADE_TABLES)
-def _(q, **t):
-    """Engines, passes and ranking from end to end."""
-    return _classified(q, t, f"SELECT column_id, entity_type, category, sensitivity, round(confidence, 6) AS confidence, engine, family, place FROM ({passes.ranked(q, 'final')}) r_")
+def classified(name: str, **options):
+    """Registers ``last(q) -> (more steps, last statement)`` after the whole chain of engines and passes."""
 
+    def keep(last):
+        def parts(q, **t):
+            more, final = last(q)
+            return _made(q, t) + C.raw_steps(q, "made_columns", "made_samples") + passes.steps(q, "raw", "made_columns", **options) + more, final
 
-@sql("classify_top1_financial", *MADE_TABLES)
-def _(q, **t):
-    return _classified(q, t, f"SELECT column_id, entity_type, round(confidence, 6) AS confidence FROM ({passes.ranked(q, 'final', 1)}) r_", categories=["Financial", "Health"])
+        STAGED[name] = parts
+        SQL[name] = (MADE_TABLES, lambda q, **t: chain(*parts(q, **t)))
+        return last
 
+    return keep
 
-@sql("column_shapes", *MADE_TABLES)
-def _(q, **t):
-    return _classified(q, t, "SELECT * FROM shape")
 
+@classified("classify_columns")
+def _(q):
+    """Engines, passes and ranking from end to end."""
+    return [], f"SELECT column_id, entity_type, category, sensitivity, round(confidence, 6) AS confidence, engine, family, place FROM ({passes.ranked(q, 'final')}) r_"
 
-@sql("tier_gate", *MADE_TABLES)
-def _(q, **t):
-    return _classified(q, t, passes.gate(q, "f18", "f2"))
 
+@classified("classify_top1_financial", categories=["Financial", "Health"])
+def _(q):
+    return [], f"SELECT column_id, entity_type, round(confidence, 6) AS confidence FROM ({passes.ranked(q, 'final', 1)}) r_"
 
-def _rollups(q, t):
-    parents = f"SELECT column_id, CASE WHEN column_id < 'made.h' THEN 'first' ELSE 'second' END AS parent FROM made_columns"
-    return [("parents", parents), ("tables_", rollup.rollup_sql(q, "final", "parents"))]
 
+@classified("column_shapes")
+def _(q):
+    return [], "SELECT * FROM shape"
 
-@sql("rollup_table", *MADE_TABLES)
-def _(q, **t):
-    steps = _made(q, t) + C.raw_steps(q, "made_columns", "made_samples") + passes.steps(q, "raw", "made_columns") + _rollups(q, t)
-    join = (lambda a: f"array_join({a}, ',')") if q.spark else (lambda a: f"array_to_string({a}, ',')")
-    return chain(steps, f"SELECT parent, sensitivity, {join('classifications')} AS classifications, {join('frameworks')} AS frameworks, findings_count FROM tables_")
 
+@classified("tier_gate")
+def _(q):
+    return [], passes.gate(q, "f18", "f2")
 
-@sql("rollup_dataset", *MADE_TABLES)
-def _(q, **t):
-    steps = _made(q, t) + C.raw_steps(q, "made_columns", "made_samples") + passes.steps(q, "raw", "made_columns") + _rollups(q, t)
+
+def _rolled(q, source: str) -> str:
     join = (lambda a: f"array_join({a}, ',')") if q.spark else (lambda a: f"array_to_string({a}, ',')")
-    steps += [("datasets", "SELECT DISTINCT parent AS child, 'all' AS parent FROM parents"), ("top_", rollup.again_sql(q, "tables_", "datasets"))]
-    return chain(steps, f"SELECT parent, sensitivity, {join('classifications')} AS classifications, {join('frameworks')} AS frameworks, findings_count FROM top_")
+    return f"SELECT parent, sensitivity, {join('classifications')} AS classifications, {join('frameworks')} AS frameworks, findings_count FROM {source}"
+
+
+def _rollups(q):
+    return [("parents", "SELECT column_id, CASE WHEN column_id < 'made.h' THEN 'first' ELSE 'second' END AS parent FROM made_columns"), ("tables_", rollup.rollup_sql(q, "final", "parents"))]
+
+
+@classified("rollup_table")
+def _(q):
+    return _rollups(q), _rolled(q, "tables_")
+
+
+@classified("rollup_dataset")
+def _(q):
+    return [*_rollups(q), ("datasets", "SELECT DISTINCT parent AS child, 'all' AS parent FROM parents"), ("top_", rollup.again_sql(q, "tables_", "datasets"))], _rolled(q, "top_")
 
 
 def _random_findings(q, events):

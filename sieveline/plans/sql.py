@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,3 +24,42 @@ def over(spark: SparkSession, statement, **tables: DataFrame) -> DataFrame:
 def chain(steps: list[tuple[str, str]], last: str) -> str:
     """``WITH`` the named steps, then ``last``."""
     return "WITH " + ",\n".join(f"{n} AS ({s})" for n, s in steps) + f"\n{last}"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, from ``spark.checkpoint.dir``; a local one is made only for a
+    single-machine session that names none."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if at:
+        return at
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sieveline-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: its lineage ends there, an executor may be lost."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staged(spark: SparkSession, steps: list[tuple[str, str]], last: str, cuts: tuple[str, ...], **tables: DataFrame) -> DataFrame:
+    """``chain(steps, last)``, the steps named in ``cuts`` written as tables where later ones start from, so
+    that a step many others refer to is computed once. The steps refer to ``tables`` by their names."""
+    steps, held = list(steps), dict(tables)
+
+    def run(text: str) -> DataFrame:
+        def statement(**views: str) -> str:
+            own = [(k, f"SELECT * FROM {v}") for k, v in views.items()]
+            return chain(own + [s for s in steps if s[0] not in views], text)
+
+        return over(spark, statement, **held)
+
+    for cut in cuts:
+        at = [n for n, _ in steps].index(cut)
+        rest, steps[at + 1 :] = steps[at + 1 :], []
+        held[cut] = written(run(f"SELECT * FROM {cut}"), cut.replace("_", "-"))
+        steps += rest
+    return run(last)
