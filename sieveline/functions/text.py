@@ -53,7 +53,7 @@ def evenness(q: Dialect, v: str) -> str:
 
 def camel_to_snake(q: Dialect, v: str) -> str:
     by = "$1_$2" if q.spark else r"\1_\2"
-    return f"lower({q.replace(v, '([a-z0-9])([A-Z])', by)})"
+    return f"lower({q.replace(v, '([0-9a-z])([A-Z])', by)})"
 
 
 def normalised(q: Dialect, v: str) -> str:
@@ -99,8 +99,8 @@ def compound_key(q: Dialect, key: str) -> str:
 
 
 _PLACEHOLDERS = [
-    "(?i)x{5,}", "<[^>]{1,80}>", r"(?i)^\[[A-Z_]{2,}\]$", r"(?i)your[-_\s].*(credential|key|password|secret|token)", r"(?i)(insert|put)[-_\s]?your", r"(?i)replace[-_\s]?(me|this|with)", "(?i)placeholder", "(?i)redacted",
-    "(?i)%bexample%b", "(?i)^sample[-_]", "(?i)^dummy", r"\{\{.*\}\}", r"\$\{[A-Z_]+\}", "(?i)example$", r"(?i)(key|password|secret|token)[-_\s]here", r"(?i)goes[-_\s]here", "(?i)%b(changeme|fixme|foobar|todo)%b",
+    "(?i)x{5,}", "<[^>]{1,80}>", r"(?i)^\[[_A-Z]{2,}\]$", r"(?i)your[-_\s].*(credential|key|password|secret|token)", r"(?i)(insert|put)[-_\s]?your", r"(?i)replace[-_\s]?(me|this|with)", "(?i)placeholder", "(?i)redacted",
+    "(?i)%bexample%b", "(?i)^sample[-_]", "(?i)^dummy", r"\{\{.*\}\}", r"\$\{[_A-Z]+\}", "(?i)example$", r"(?i)(key|password|secret|token)[-_\s]here", r"(?i)goes[-_\s]here", "(?i)%b(changeme|fixme|foobar|todo)%b",
 ]
 _RUN = "|".join(f"{c}{{8,}}" for c in [*"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", *(rf"\x{ord(c):02x}" for c in " !\"#$%&'()*+,-./:;<=>?@[]^_`{|}~")])
 
@@ -115,32 +115,32 @@ _NAME = r"[a-zA-Z_]\w*"
 NOT_SECRET = {
     "config_literal": lambda q, v: q.any_in(f"lower(trim({v}))", CONFIG_VALUES),
     "url": "(?i)^https?://",
-    "date": r"^\d{4}[-/]\d{2}[-/]\d{2}",
+    "date": r"^\d{4}([-/]\d\d){2}",
     "ip": r"^\d{1,3}(\.\d{1,3}){3}$",
     "numeric": r"^[-\d\s.,+]+$",
     "dotted_code": lambda q, v: f"({q.like(v, rf'^{_NAME}(\.{_NAME})+[;,]?$')} AND NOT {q.like(v, r'[^.;,]{33}')})",
-    "bracket_access": rf"^{_NAME}(\.{_NAME})*\[[^\]]+\][;,]?$",
+    "bracket_access": rf"^{_NAME}(\.{_NAME})*\[[^\]]+\][,;]?$",
     "statement": rf"^{_NAME};$",
     "call_assignment": r"[({].*[=;]",
-    "shell_variable": lambda q, v: f"({q.like(v, r'^\$[\w{]')} AND NOT {q.like(v, r'^\$(2[aby]\$|[56]\$|argon2|scrypt)')})",
-    "constant": r"^[A-Z][A-Z0-9]*([-_][A-Z0-9]+)+$",
-    "punctuation": r"^[-\[\](){}<>,./\\|!@#%^&*+=~`;:\s]+$",
+    "shell_variable": lambda q, v: f"({q.like(v, r'^\$[\w{]')} AND NOT {q.like(v, r'^\$(argon2|scrypt|2[aby]\$|[56]\$)')})",
+    "constant": r"^[A-Z][0-9A-Z]*([-_][0-9A-Z]+)+$",
+    "punctuation": r"^[-!@#%^&*+=~`;:,.|/\\<>(){}\[\]\s]+$",
     "file_path": r"""^\s*["']*([/~][-\w./:+]+|[A-Z]:\\[-\w\\.:+]+)["']*\s*$""",
     "drive": r"""^\s*["']*[A-Za-z]:[/\\]""",
     "qualified_name": r"^[A-Za-z][^.]{0,49}(\.[A-Za-z][^.]{0,49}){2,}\.[A-Za-z][^.]{0,49}?[;,()]*$",
     "relative_url": r"^//\w",
     "domain_path": r"^[a-z][-a-z0-9]*(\.[a-z][-a-z0-9]*){2,}/",
-    "html_attribute": r"""(?i)^(href|src|integrity|action|id|class|data-\w+)\s*=\s*\x22""",
-    "integrity_hash": "^sha(256|384|512)-[A-Za-z0-9+/=]+$",
+    "html_attribute": r"""(?i)^(action|class|data-\w+|href|id|integrity|src)\s*=\s*\x22""",
+    "integrity_hash": "^sha(512|384|256)-[0-9A-Za-z/+=]+$",
     "fingerprint": "^SHA(256|384|512):",
     "camel_case": lambda q, v: f"(length({q.replace(v, '[^A-Za-z]')}) > 0.9 * length({v}) AND {q.size(q.all(v, '[A-Z][a-z]{3,}'))} >= 3)",
-    "bytecode": "^L[a-z][a-z0-9]*/",
+    "bytecode": "^L[a-z][0-9a-z]*/",
     "dict_access": rf"^{_NAME}(\.{_NAME})*\[",
-    "function_call": lambda q, v: f"({q.like(v, r'^[a-zA-Z_!][\w:.]*\(')} AND NOT {q.contains(v, ' ')})",
+    "function_call": lambda q, v: f"({q.like(v, r'^[A-Za-z_!][\w:.]*\(')} AND NOT {q.contains(v, ' ')})",
     "namespace": "^(xmlns|cargo):",
-    "key_path": r"""^[-\w]+=\x22(https?://|/|~/|\$|\.\.?/)""",
+    "key_path": r"""^[-\w]+=\x22(/|~/|\.\.?/|\$|https?://)""",
     "file_url": "file://",
-    "ethereum": "^0x[0-9a-fA-F]{40}$",
+    "ethereum": "^0x[0-9A-Fa-f]{40}$",
     "relative_path": r"^\.\.?/",
     "flag_url": r"^--[-\w]+=https?://",
     "slash_words": r"^/*[A-Za-z][^/]{0,29}(/+[A-Za-z][^/]{0,29}){3,}/*$",
@@ -149,11 +149,11 @@ NOT_SECRET = {
     "open_bracket": r"^[\[(]",
     "backslashes": r"\\.*\\",
     "format_url": r"^f['\x22]https?://",
-    "single_word": lambda q, v: f"(length(trim({v})) <= 30 AND {q.like(f'trim({v})', '^[a-zA-Z]+(-[a-zA-Z]+)*$')})",
+    "single_word": lambda q, v: f"(length(trim({v})) <= 30 AND {q.like(f'trim({v})', '^[A-Za-z]+(-[A-Za-z]+)*$')})",
     "concatenation": r"""^\s*["']*\s*\+|\+\s*["']*\s*$""",
     "alphabet": lambda q, v: "(length({v}) >= 20 AND {n} >= 2)".format(v=v, n="(" + " + ".join(f"CAST({q.contains(v, s)} AS INT)" for s in ("abcdefghij", "ABCDEFGHIJ", "0123456789")) + ")"),
     "markdown_link": r"^!?\[.*\]\(",
-    "url_encoded": "%[0-9A-Fa-f]{2}.*%[0-9A-Fa-f]{2}",
+    "url_encoded": "%[A-Fa-f0-9]{2}.*%[A-Fa-f0-9]{2}",
     "braces": lambda q, v: f"({q.contains(v, '{')} AND {q.contains(v, '}')})",
     "comma_list": r"^\s*[-\w]{1,40}\s*(,\s*[-\w]{1,40}\s*){3,}$",
     "prose": lambda q, v: f"({q.contains(v, ' ')} AND length({q.replace(v, '[^A-Za-z]')}) > 0.6 * length({v}))",
@@ -207,7 +207,7 @@ ELSE CAST(0 AS DOUBLE) END)"""
 
 def opaque_confidence(q: Dialect, v: str, floor: float = 0.7, classes_: int = 3, base: float = 0.65, most: float = 0.85) -> str:
     """Confidence that a bare token with its ``measures`` is a secret; 0 if it is none."""
-    gate = f"length({v}) BETWEEN 16 AND 512 AND rel_ >= {floor} AND div_ >= {classes_} AND NOT obvious_ AND NOT {q.like(v, '^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$')} AND NOT {contains_any(q, f'lower({v})', ANTI_INDICATORS)} AND NOT {placeholder(q, v)}"
+    gate = f"length({v}) BETWEEN 16 AND 512 AND rel_ >= {floor} AND div_ >= {classes_} AND NOT obvious_ AND NOT {q.like(v, '^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$')} AND NOT {contains_any(q, f'lower({v})', ANTI_INDICATORS)} AND NOT {placeholder(q, v)}"
     add = f"CAST({base} AS DOUBLE) + (CASE WHEN rel_ > 0.85 THEN 0.1 ELSE 0.0 END) + greatest(0, div_ - {classes_}) * 0.05 + (CASE WHEN length({v}) > 24 THEN 0.05 ELSE 0.0 END)"
     return f"(CASE WHEN {gate} THEN least(CAST({most} AS DOUBLE), {add}) ELSE CAST(0 AS DOUBLE) END)"
 
