@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import validators
 from ..functions.dialect import SPARK
-from ..patterns import content_patterns, stopwords
+from ..patterns import content_patterns, screen, stopwords
 
 CANDIDATE = "array<struct<kind:string,name:string,key:string,value:string,start:int,end:int>>"
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("name", pa.string()), ("key", pa.string()), ("value", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -33,42 +33,11 @@ _TOKEN = re.compile(r"\S{16,}")
 _EDGE_LEFT, _EDGE_RIGHT = "\"'`", "\"'`,.;:!?)]}"
 
 
-def _literals(node) -> set[str] | None:
-    """Lower-case texts one of which every match must contain; None if nothing is certain."""
-    best: set[str] | None = None
-    run = ""
-
-    def offer(x: set[str] | None) -> None:
-        nonlocal best
-        if x and min(map(len, x)) >= 3 and (best is None or min(map(len, x)) > min(map(len, best))):
-            best = x
-
-    for op, arg in node:
-        name = str(op)
-        if name == "LITERAL":
-            run += chr(arg).lower()
-            continue
-        offer({run} if run else None)
-        run = ""
-        if name == "SUBPATTERN":
-            offer(_literals(arg[3]))
-        elif name == "BRANCH":
-            parts = [_literals(x) for x in arg[1]]
-            if all(parts):
-                offer(set().union(*parts))
-        elif name == "MAX_REPEAT" and arg[0] >= 1:
-            offer(_literals(arg[2]))
-    offer({run} if run else None)
-    return best
-
-
 @cache
 def _scanner():
     """(compiled patterns, automaton of required literals, patterns that have none)."""
     import ahocorasick
 
-    from re import _parser
-
     compiled, always = [], []
     auto = ahocorasick.Automaton()
     need: dict[str, list[int]] = {}
@@ -79,7 +48,7 @@ def _scanner():
         source = p.regex.replace("%b", r"\b")
         at = len(compiled)
         compiled.append((p.name, re.compile(source if not source.startswith(r"\b(?i)") else "(?i)" + source.replace("(?i)", ""), re.ASCII)))
-        found = _literals(_parser.parse(compiled[-1][1].pattern, re.ASCII))
+        found = screen(p.regex)[2]
         for x in found or ():
             need.setdefault(x, []).append(at)
         if not found:

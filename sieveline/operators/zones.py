@@ -91,7 +91,7 @@ def prescreen(text: str) -> bool:
 
 def letters(line: str) -> float:
     s = line.strip()
-    return sum(c.isalpha() or c.isspace() for c in s) / max(1, len(s))
+    return (len(s) - len(_NO_LETTER.findall(s))) / max(1, len(s))
 
 
 def keyword_hits(line: str) -> int:
@@ -108,7 +108,7 @@ def line_score(line: str) -> float:
     s = line.strip()
     if not s:
         return 0.0
-    dense = sum(c in _SYNTAX for c in s) / len(s)
+    dense = len(_MARK.findall(s)) / len(s)
     score = 0.3 if dense > 0.15 else 0.15 if dense > 0.08 else 0.0
     words = keyword_hits(s)
     score += 0.3 if words >= 2 else 0.15 if words else 0.0
@@ -209,11 +209,20 @@ def negative(line: str) -> str | None:
     return None
 
 
+_NO_LETTER, _MARK, _NUMBER = re.compile(r"[^\w\s]|[\d_]"), re.compile("[" + re.escape("".join(sorted(_SYNTAX))) + "]"), re.compile(r"(?<!\S)[-+$€]?\d[\d.,:%/-]*(?!\S)")
+
+
+def _sentence(line: str) -> bool:
+    s = line.strip().rstrip("\"')")
+    return s[-1:] in (".", "!", "?") and s[0].isalpha() and s.count(" ") >= 2
+
+
 def features(lines: list[str]) -> dict[str, float]:
     """Measures of a block, for the data and prose detectors."""
     solid = [x for x in lines if x.strip()]
-    chars = max(1, sum(map(len, lines)))
-    words = [w for x in lines for w in x.split()]
+    text = "\n".join(lines)
+    chars = max(1, len(text) - len(lines) + 1)
+    words = text.lower().split()
     n = max(1, len(solid))
     counts = [max((x.count(c) for c in ",;\t|"), default=0) for x in solid]
     common = Counter(counts).most_common(1)[0] if counts else (0, 0)
@@ -222,11 +231,11 @@ def features(lines: list[str]) -> dict[str, float]:
     mean = sum(size) / n
     spread = (sum((s - mean) ** 2 for s in size) / n) ** 0.5 / mean if mean else 0.0
     return {
-        "alpha": sum(c.isalpha() or c.isspace() for x in lines for c in x) / chars,
-        "syntax": sum(c in _SYNTAX for x in lines for c in x) / chars,
-        "sentence": sum(bool(re.match(r"^\s*[^\W\d_].*[.!?][\x22')]*\s*$", x)) and len(x.split()) >= 3 for x in solid) / n,
-        "keywords": sum(w.lower() in _KEYWORDS for w in words) / max(1, len(words)),
-        "numeric": sum(bool(re.fullmatch(r"[-+$€]?\d[\d.,:%/-]*", w)) for w in words) / max(1, len(words)),
+        "alpha": (chars - len(_NO_LETTER.findall(text))) / chars,
+        "syntax": len(_MARK.findall(text)) / chars,
+        "sentence": sum(map(_sentence, solid)) / n,
+        "keywords": sum(map(_KEYWORDS.__contains__, words)) / max(1, len(words)),
+        "numeric": len(_NUMBER.findall(text)) / max(1, len(words)),
         "delimiter": sum(c >= 2 for c in counts) / n,
         "uniform": max(0.0, 1.0 - spread) if not common[0] else max(common[1] / n, max(0.0, 1.0 - spread)),
         "prefix": max(heads.values()) / n >= 0.5 if len(solid) >= 3 else False,

@@ -28,6 +28,68 @@ class Pattern(NamedTuple):
     regex: str  # ``%b`` still stands for the boundary
 
 
+def required(node) -> set[str] | None:
+    """Lower-case texts one of which every match of a parsed expression contains; None if none is certain."""
+    best: set[str] | None = None
+    run = ""
+
+    def offer(x: set[str] | None) -> None:
+        nonlocal best
+        if x and min(map(len, x)) >= 3 and (best is None or min(map(len, x)) > min(map(len, best))):
+            best = x
+
+    for op, arg in node:
+        name = str(op)
+        if name == "LITERAL":
+            run += chr(arg).lower()
+            continue
+        offer({run} if run else None)
+        run = ""
+        if name == "SUBPATTERN":
+            offer(required(arg[3]))
+        elif name == "BRANCH":
+            parts = [required(x) for x in arg[1]]
+            if all(parts):
+                offer(set().union(*parts))
+        elif name == "MAX_REPEAT" and arg[0] >= 1:
+            offer(required(arg[2]))
+    offer({run} if run else None)
+    return best
+
+
+def digits(node) -> int:
+    """How many digits every match holds at least."""
+    n = 0
+    for op, arg in node:
+        name = str(op)
+        if name == "LITERAL":
+            n += 48 <= arg <= 57
+        elif name == "IN":
+            n += all(str(o) in ("RANGE", "LITERAL") and 48 <= (a[0] if str(o) == "RANGE" else a) and (a[1] if str(o) == "RANGE" else a) <= 57 for o, a in arg)
+        elif name == "SUBPATTERN":
+            n += digits(arg[3])
+        elif name == "BRANCH":
+            n += min(digits(x) for x in arg[1])
+        elif name == "MAX_REPEAT":
+            n += arg[0] * digits(arg[2])
+    return n
+
+
+def parsed(regex: str):
+    """The syntax tree of a pattern, for what must hold of all its matches."""
+    from re import _parser
+
+    return _parser.parse(("(?i)" if "(?i)" in regex else "") + regex.replace("(?i)", "").replace("%b", r"\b"), re.ASCII)
+
+
+@cache
+def screen(regex: str) -> tuple[int, int, tuple[str, ...]]:
+    """(least length, least digits, lower-case texts one of which is there) of any match: cheap tests that
+    spare most values the expression itself."""
+    tree = parsed(regex)
+    return tree.getwidth()[0], digits(tree), tuple(sorted(required(tree) or ()))
+
+
 def _rows(name: str) -> list[list[str]]:
     return [line.split("\t") for line in (HERE / name).read_text().splitlines() if line]
 

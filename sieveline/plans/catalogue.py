@@ -334,7 +334,7 @@ def _random_findings(q, events):
     auth = "CASE h % 5 " + " ".join(f"WHEN {i} THEN {a}" for i, (_, a) in enumerate(engs)) + " END"
     cat = case(kind, {k: "Credential" for k in ("CREDENTIAL", "API_KEY")}, "'PII'")
     return _text(q, f"""SELECT concat('c', CAST(event_id % 1999 AS STRING)) AS column_id, {kind} AS entity_type, {cat} AS category, CASE h % 4 WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'HIGH' ELSE 'CRITICAL' END AS sensitivity, CAST(50 + (h * 7) % 50 AS DOUBLE) / 100 AS confidence, {q.texts(['GDPR'])} AS regulatory, {eng} AS engine, {auth} AS authority, CAST(event_id AS INT) AS seq,
-CASE WHEN h % 3 = 0 THEN 'p' ELSE '' END AS detection_type, CAST(h % 20 AS BIGINT) AS matched, CAST(h % 20 * (h % 7) / 7 AS BIGINT) AS validated, CAST(20 AS BIGINT) AS scanned, {q.array(["CASE WHEN h % 4 = 0 THEN 'http://10.1.1.1/a' ELSE 'changeme' END"])} AS matches FROM (SELECT event_id, (event_id * 7919 + user_id) % 1000003 AS h FROM {events}) e_""")
+CASE WHEN h % 3 = 0 THEN 'p' ELSE '' END AS detection_type, CAST(h % 20 AS BIGINT) AS matched, CAST(floor(h % 20 * (h % 7) / 7.0) AS BIGINT) AS validated, CAST(20 AS BIGINT) AS scanned, {q.array(["CASE WHEN h % 4 = 0 THEN 'http://10.1.1.1/a' ELSE 'changeme' END"])} AS matches FROM (SELECT event_id, (event_id * 7919 + user_id) % 1000003 AS h FROM {events}) e_""")
 
 
 def _pass(name, build):
