@@ -70,16 +70,20 @@ def by_profile_rule(q: Dialect, columns: str) -> list[tuple[str, str]]:
     ]
 
 
+def screen_columns(q: Dialect, v: str) -> str:
+    return f"lower({v}) AS low_, length({v}) AS size_, length({q.replace(v, '[^0-9]')}) AS digits_"
+
+
+def screened(q: Dialect, regex: str) -> str:
+    """What holds of any text with a match: a test of ``screen_columns`` that spares most the expression."""
+    size, n, parts = screen(regex)
+    return " AND ".join([f"size_ >= {size}"] + ([f"digits_ >= {n}"] if n else []) + ([T.contains_any(q, "low_", parts)] if parts else []))
+
+
 def by_content(q: Dialect, columns: str, samples: str, patterns=None) -> list[tuple[str, str]]:
     """Sampled values against the content patterns: matches, validated matches and confidence."""
     ps = content_patterns() if patterns is None else patterns
-
-    def test(regex: str) -> str:
-        size, n, parts = screen(regex)
-        cheap = [f"size_ >= {size}"] + ([f"digits_ >= {n}"] if n else []) + ([T.contains_any(q, "low_", parts)] if parts else [])
-        return " AND ".join([*cheap, q.like("value", regex)])
-
-    hits = q.array([f"CASE WHEN {test(p.regex)} THEN {k} END" for k, p in enumerate(ps)])
+    hits = q.array([f"CASE WHEN {screened(q, p.regex)} AND {q.like('value', p.regex)} THEN {k} END" for k, p in enumerate(ps)])
     known = [(k, p) for k, p in enumerate(ps) if p.validator in validators.VALIDATORS]
     valid = "CASE p " + " ".join(f"WHEN {k} THEN {validators.VALIDATORS[p.validator](q, q.first('value', p.regex, 0))}" for k, p in known) + " ELSE true END" if known else "true"
     hinted = [(k, p) for k, p in enumerate(ps) if p.hints]
@@ -87,7 +91,7 @@ def by_content(q: Dialect, columns: str, samples: str, patterns=None) -> list[tu
     rows = [(k, p.name, p.entity_type, p.category, p.sensitivity, p.confidence, int(bool(p.validator))) for k, p in enumerate(ps)]
     keep = "x_ IS NOT NULL"
     return [
-        ("cv", f"SELECT column_id, pos, value, lower(value) AS low_, length(value) AS size_, length({q.replace('value', '[^0-9]')}) AS digits_ FROM {samples} WHERE value IS NOT NULL"),
+        ("cv", f"SELECT column_id, pos, value, {screen_columns(q, 'value')} FROM {samples} WHERE value IS NOT NULL"),
         ("cn", "SELECT column_id, count(*) AS scanned FROM cv GROUP BY column_id"),
         ("ch", f"SELECT column_id, pos, value, {q.explode(q.filter(hits, 'x_', keep))} AS p FROM cv WHERE NOT {q.any_in('lower(trim(value))', stopwords())}"),
         ("ck", f"SELECT h.*, {valid} AS valid FROM ch h JOIN {columns} c ON h.column_id = c.column_id WHERE {gate}"),

@@ -49,7 +49,9 @@ def _scanner():
         at = len(compiled)
         compiled.append((p.name, re.compile(source if not source.startswith(r"\b(?i)") else "(?i)" + source.replace("(?i)", ""), re.ASCII)))
         found = screen(p.regex)[2]
-        for x in found or ():
+        if found and min(map(len, found)) < 3:
+            found = ()
+        for x in found:
             need.setdefault(x, []).append(at)
         if not found:
             always.append(at)

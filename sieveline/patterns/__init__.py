@@ -35,7 +35,7 @@ def required(node) -> set[str] | None:
 
     def offer(x: set[str] | None) -> None:
         nonlocal best
-        if x and min(map(len, x)) >= 3 and (best is None or min(map(len, x)) > min(map(len, best))):
+        if x and (best is None or min(map(len, x)) > min(map(len, best))):
             best = x
 
     for op, arg in node:

@@ -31,6 +31,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """For a function of whole texts: a table of fewer input splits than the session has cores is dealt out
+    to all of them; a larger one stays as it is read, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(2 * cores)
+
+
 def run(name: str) -> Callable[[SparkSession, str], DataFrame]:
     tables, f = SQL[name]
     if name in STAGED:

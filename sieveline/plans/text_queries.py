@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import validators
 from ..model import FAMILY, case
-from ..operators import metrics, spans, structured, zones
+from ..operators import engines, metrics, spans, structured, zones
 from ..patterns import content_patterns
 from ..sources import prompts
 from ..streaming import jobs
-from .catalogue import FRAMES, _random_findings, _text, read, sql
+from .catalogue import FRAMES, _random_findings, _text, read, spread, sql
 from .sql import chain
 
 _BY_NAME = {p.name: p for p in content_patterns()}
@@ -38,8 +38,8 @@ _scan("scan_url", "url", "pages", "page_id", "html")
 def _(q, documents):
     """Matches of every PII, health and financial pattern over the whole texts."""
     ps = [p for p in content_patterns() if p.category != "Credential" and not p.hints and not p.regex.startswith("%b(?i)")]
-    counts = ", ".join(f"sum({q.size(q.all('text', p.regex, 0))}) AS {p.name}" for p in ps)
-    return f"SELECT source, {counts} FROM {documents} WHERE text IS NOT NULL GROUP BY source"
+    counts = ", ".join(f"sum(CASE WHEN {engines.screened(q, p.regex)} THEN {q.size(q.all('text', p.regex, 0))} ELSE 0 END) AS {p.name}" for p in ps)
+    return f"SELECT source, {counts} FROM (SELECT source, text, {engines.screen_columns(q, 'text')} FROM {documents} WHERE text IS NOT NULL) d_ GROUP BY source"
 
 
 @sql("assignments", "documents")
@@ -141,42 +141,42 @@ def frame(name):
 
 @frame("text_findings")
 def _(spark, sf_dir):
-    found = spans.scan_text(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = spans.scan_text(spread(read(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.*")
 
 
 @frame("text_redacted")
 def _(spark, sf_dir):
-    found = spans.scan_text(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = spans.scan_text(spread(read(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select("doc_id", *[spans.redacted("text", "findings", s).alias(s.replace("-", "_")) for s in ("type-label", "asterisk", "placeholder")])
 
 
 @frame("zone_blocks")
 def _(spark, sf_dir):
-    found = zones.with_zones(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = zones.with_zones(spread(read(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select("doc_id", F.explode("zones").alias("z")).select("doc_id", "z.*")
 
 
 @frame("zone_blocks_pages")
 def _(spark, sf_dir):
-    found = zones.with_zones(read(spark, sf_dir, "pages").select("page_id", "html"), "html")
+    found = zones.with_zones(spread(read(spark, sf_dir, "pages").select("page_id", "html")), "html")
     return found.select("page_id", F.explode("zones").alias("z")).select("page_id", "z.*")
 
 
 @frame("zone_summary")
 def _(spark, sf_dir):
-    return zones.summary(zones.with_zones(read(spark, sf_dir, "conversations").select(prompts.prompt_id(F.col("conv_id"), F.col("turn")).alias("prompt_id"), "text")), "prompt_id")
+    return zones.summary(zones.with_zones(spread(read(spark, sf_dir, "conversations").select(prompts.prompt_id(F.col("conv_id"), F.col("turn")).alias("prompt_id"), "text"))), "prompt_id")
 
 
 @frame("dominant_zone")
 def _(spark, sf_dir):
-    return zones.with_zones(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", zones.dominant().alias("zone_type"))
+    return zones.with_zones(spread(read(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", zones.dominant().alias("zone_type"))
 
 
 @frame("unified_detect")
 def _(spark, sf_dir):
     """Zones, secrets moved by zone, and the redacted text."""
-    out = spans.detect(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = spans.detect(spread(read(spark, sf_dir, "documents").select("doc_id", "text")))
     return out.select("doc_id", F.size("zones").alias("n_zones"), F.size("findings").alias("n_findings"), "redacted")
 
 
@@ -188,7 +188,7 @@ def _(spark, sf_dir):
 
 @frame("key_value_pairs")
 def _(spark, sf_dir):
-    out = structured.with_key_values(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = structured.with_key_values(spread(read(spark, sf_dir, "documents").select("doc_id", "text")))
     return out.select("doc_id", F.explode("pairs").alias("p")).select("doc_id", "p.*")
 
 
