@@ -60,6 +60,6 @@ def health_check(spark: SparkSession) -> dict:
         c = spark.createDataFrame([("", "t.ssn", "ssn", "t", "STRING")], "group_id string, column_id string, column_name string, table_name string, data_type string")
         s = spark.createDataFrame([("t.ssn", 1, "123-45-6789")], "column_id string, pos bigint, value string")
         got = classify(c, s).where("entity_type = 'SSN'").count()
-        return {"healthy": got == 1, "findings": got, "error": None}
+        return {"healthy": got > 0, "findings": got, "error": None}
     except Exception as e:  # noqa: BLE001
         return {"healthy": False, "findings": 0, "error": str(e)[:500]}

@@ -79,7 +79,8 @@ def candidates(text: str) -> list[tuple]:
         ids.update(always)
     for k in sorted(ids):
         name, p = compiled[k]
-        out += [("regex", name, None, m[0], m.start(), m.end()) for m in p.finditer(text)]
+        # a pattern inside a key block, as its first line, is part of the block, which goes as a whole
+        out += [("regex", name, None, m[0], m.start(), m.end()) for m in p.finditer(text) if not any(a <= m.start() < b for a, b in blocks)]
     if "=" in text or ":" in text:
         for p in (_ENV, _CODE) if "=" in text else (_CODE,):
             for m in p.finditer(text):
