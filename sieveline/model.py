@@ -41,7 +41,7 @@ DOMAIN_DELTAS = {
 }
 
 #: Engine -> (order, authority).
-ENGINES = {"column_name": (1, 10), "regex": (2, 5), "heuristic_stats": (3, 1), "secret_scanner": (4, 1), "gliner2": (5, 1)}
+ENGINES = {"column_name": (1, 10), "regex": (2, 5), "heuristic_stats": (3, 1), "secret_scanner": (4, 1), "model": (5, 1)}
 
 NON_TEXT_TYPES = "BIGINT BOOLEAN BYTES DATE DATETIME DECIMAL DOUBLE FLOAT INT INTEGER NUMERIC TIME TIMESTAMP".split()
 

@@ -58,9 +58,9 @@ ON f.column_id = b.column_id AND f.entity_type = b.entity_type WHERE NOT (act_ A
 def model_only(q: Dialect, src: str, raw: str, skip: str) -> str:
     """A model's own findings go where another engine is sure of a different type."""
     cols = ", ".join(f"f.{c} AS {c}" for c in FIELDS)
-    return f"""SELECT {cols} FROM {src} f LEFT JOIN (SELECT DISTINCT column_id FROM {raw} WHERE engine <> 'gliner2' AND confidence >= 0.85) s ON f.column_id = s.column_id
-LEFT JOIN (SELECT DISTINCT column_id, entity_type FROM {raw} WHERE engine <> 'gliner2' AND confidence >= 0.85) t ON f.column_id = t.column_id AND f.entity_type = t.entity_type
-LEFT JOIN {skip} k ON f.column_id = k.column_id WHERE k.column_id IS NOT NULL OR f.engine <> 'gliner2' OR s.column_id IS NULL OR t.column_id IS NOT NULL"""
+    return f"""SELECT {cols} FROM {src} f LEFT JOIN (SELECT DISTINCT column_id FROM {raw} WHERE engine <> 'model' AND confidence >= 0.85) s ON f.column_id = s.column_id
+LEFT JOIN (SELECT DISTINCT column_id, entity_type FROM {raw} WHERE engine <> 'model' AND confidence >= 0.85) t ON f.column_id = t.column_id AND f.entity_type = t.entity_type
+LEFT JOIN {skip} k ON f.column_id = k.column_id WHERE k.column_id IS NOT NULL OR f.engine <> 'model' OR s.column_id IS NULL OR t.column_id IS NOT NULL"""
 
 
 def collision(q: Dialect, src: str, a: str, b: str) -> str:

@@ -335,7 +335,7 @@ def _(q):
 def _random_findings(q, events):
     """Findings made from events, many for each column, for the passes alone."""
     kinds = "SSN ABA_ROUTING CANADIAN_SIN NPI PHONE DEA_NUMBER IBAN CREDENTIAL API_KEY EMAIL PERSON_NAME ADDRESS IP_ADDRESS DATE_OF_BIRTH CREDIT_CARD".split()
-    engs = [("column_name", 10), ("regex", 5), ("heuristic_stats", 1), ("secret_scanner", 1), ("gliner2", 1)]
+    engs = [("column_name", 10), ("regex", 5), ("heuristic_stats", 1), ("secret_scanner", 1), ("model", 1)]
     kind = f"CASE h % {len(kinds)} " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(kinds)) + " END"
     eng = "CASE h % 5 " + " ".join(f"WHEN {i} THEN '{e}'" for i, (e, _) in enumerate(engs)) + " END"
     auth = "CASE h % 5 " + " ".join(f"WHEN {i} THEN {a}" for i, (_, a) in enumerate(engs)) + " END"

@@ -112,7 +112,7 @@ def _(q, events):
 @sql("feature_vectors", "events")
 def _(q, events):
     """The numbers a second-stage model would see of a column's findings."""
-    agg = "SELECT column_id, " + ", ".join(f"coalesce(max(CASE WHEN engine = '{e}' THEN confidence END), 0.0) AS {e}" for e in ("column_name", "regex", "heuristic_stats", "secret_scanner", "gliner2"))
+    agg = "SELECT column_id, " + ", ".join(f"coalesce(max(CASE WHEN engine = '{e}' THEN confidence END), 0.0) AS {e}" for e in ("column_name", "regex", "heuristic_stats", "secret_scanner", "model"))
     fam = case("entity_type", FAMILY, "entity_type")
     return chain([("given", _random_findings(q, events)), ("r", "SELECT *, row_number() OVER (PARTITION BY column_id ORDER BY confidence DESC, seq) AS k FROM given")], f"{agg}, count(DISTINCT engine) AS engines, count(DISTINCT {fam}) AS families, max(CASE WHEN k = 1 THEN entity_type END) AS top, round(max(CASE WHEN k = 1 THEN confidence END) - coalesce(max(CASE WHEN k = 2 THEN confidence END), 0.0), 6) AS gap, round(max(CASE WHEN engine = 'regex' THEN CAST(matched AS DOUBLE) / scanned ELSE 0.0 END), 6) AS ratio FROM r GROUP BY column_id")
 
