@@ -25,7 +25,11 @@ DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table; documents of fewer input splits than the session has cores are dealt out to all of them,
+    a larger table stays as it is read, without a shuffle."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if table == "documents" and df.rdd.getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
