@@ -32,3 +32,15 @@ def agreement(ours: str, theirs: str) -> str:
     """Two engines' label of each column, compared, with the number of columns of each outcome."""
     return f"""SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN o.entity_type IS NULL AND t.entity_type IS NULL THEN 'both_silent' WHEN o.entity_type IS NULL THEN 'only_theirs' WHEN t.entity_type IS NULL THEN 'only_ours' WHEN o.entity_type = t.entity_type THEN 'same_type'
 WHEN {case('o.entity_type', FAMILY, 'o.entity_type')} = {case('t.entity_type', FAMILY, 't.entity_type')} THEN 'same_family' ELSE 'disagree' END AS outcome FROM {ours} o FULL JOIN {theirs} t ON o.column_id = t.column_id) c_ GROUP BY outcome"""
+
+
+def recent(history: str, order: str, value: str, n: int) -> str:
+    """The latest ``n`` runs of a benchmark and what each changed."""
+    return f"SELECT {order}, {value}, delta FROM (SELECT {order}, {value}, {value} - lag({value}) OVER (ORDER BY {order}) AS delta, row_number() OVER (ORDER BY {order} DESC) AS r_ FROM {history}) h_ WHERE r_ <= {n}"
+
+
+def label_sets(predicted: str, truth: str) -> str:
+    """Several labels a column, (column_id, entity_type) on both sides: exact sets, labels hit, missed and made up."""
+    return f"""SELECT count(*) AS n_columns, sum(CASE WHEN missed = 0 AND extra = 0 THEN 1 ELSE 0 END) AS exact, sum(hit) AS hit, sum(missed) AS missed, sum(extra) AS extra, sum(CASE WHEN hit = 0 THEN 1 ELSE 0 END) AS all_missed FROM
+(SELECT column_id, sum(CASE WHEN p AND t THEN 1 ELSE 0 END) AS hit, sum(CASE WHEN t AND NOT p THEN 1 ELSE 0 END) AS missed, sum(CASE WHEN p AND NOT t THEN 1 ELSE 0 END) AS extra FROM
+(SELECT column_id, entity_type, max(CASE WHEN side = 'p' THEN 1 ELSE 0 END) = 1 AS p, max(CASE WHEN side = 't' THEN 1 ELSE 0 END) = 1 AS t FROM (SELECT column_id, entity_type, 'p' AS side FROM {predicted} UNION ALL SELECT column_id, entity_type, 't' FROM {truth}) u_ GROUP BY column_id, entity_type) l_ GROUP BY column_id) c_"""

@@ -149,6 +149,19 @@ def siblings(q: Dialect, src: str, columns: str, least: float) -> str:
     return select(inner, f"{delta} = 0 OR {moved} >= {least}", confidence=f"CASE WHEN {delta} = 0 THEN confidence ELSE {moved} END", detection_type=f"CASE WHEN {delta} = 0 THEN detection_type ELSE '' END")
 
 
+def table_profile(q: Dialect, src: str, columns: str) -> str:
+    """(group_id, domain counts, primary_domain, signals): what the sure findings of a group say of it; a domain
+    is primary with two signals at least and more than any other."""
+    n = ", ".join(f"sum(CASE WHEN {_types(q, ts)} THEN 1 ELSE 0 END) AS {d}" for d, ts in DOMAIN_SIGNALS.items())
+    primary = "CASE " + " ".join(f"WHEN {d} >= 2 AND " + " AND ".join(f"{d} > {o}" for o in DOMAIN_SIGNALS if o != d) + f" THEN '{d}'" for d in DOMAIN_SIGNALS) + " END"
+    return f"SELECT group_id, {', '.join(f'CAST({d} AS BIGINT) AS {d}' for d in DOMAIN_SIGNALS)}, {primary} AS primary_domain, signals, types_seen FROM (SELECT c.group_id, {n}, count(*) AS signals, count(DISTINCT entity_type) AS types_seen FROM {src} f JOIN {columns} c ON f.column_id = c.column_id WHERE confidence >= 0.7 GROUP BY c.group_id) p_"
+
+
+def classification_events(q: Dialect, src: str, run_id: str) -> str:
+    """One event for each column with findings: how many, the surest, and which engines spoke."""
+    return f"SELECT {q.text(run_id)} AS run_id, column_id, count(*) AS findings, max(confidence) AS top_confidence, count(DISTINCT engine) AS engines, min(entity_type) AS first_type FROM {src} GROUP BY column_id"
+
+
 def ranked(q: Dialect, src: str, most: int | None = None, gap: float = 0.3, aggressive: bool = False) -> str:
     """Findings in order, with ``family`` and ``place``: families by their best finding, within one the more
     specific first; then the first ``most``, or those within ``gap`` of the best."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import validators
 from ..model import FAMILY, case
-from ..operators import engines, metrics, spans, structured, zones
+from ..operators import engines, metrics, passes, spans, structured, zones
 from ..patterns import content_patterns
 from ..sources import prompts
 from ..streaming import jobs
@@ -109,6 +109,35 @@ def _(q, events):
     return chain([*_labels(q, events), ("o_", "SELECT * FROM said_ WHERE column_id NOT LIKE '%3'"), ("t_", "SELECT * FROM real_ WHERE column_id NOT LIKE '%5'")], metrics.agreement("o_", "t_"))
 
 
+@sql("label_set_metrics", "events")
+def _(q, events):
+    return chain([("given", _random_findings(q, events)), ("p_", "SELECT DISTINCT column_id, entity_type FROM given WHERE confidence >= 0.6"), ("t_", "SELECT DISTINCT column_id, entity_type FROM given WHERE confidence >= 0.7")], metrics.label_sets("p_", "t_"))
+
+
+@sql("benchmark_history", "events")
+def _(q, events):
+    """The eight latest days, as if each were a run."""
+    day = f"SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM {events} GROUP BY 1"
+    return chain([("h", day)], metrics.recent("h", "day", "n", 8))
+
+
+@sql("table_profile", "events")
+def _(q, events):
+    steps = [("given", _random_findings(q, events)), ("cols", "SELECT DISTINCT concat('g', substr(column_id, 2, 3)) AS group_id, column_id FROM given")]
+    return chain(steps, passes.table_profile(q, "given", "cols"))
+
+
+@sql("classification_events", "events")
+def _(q, events):
+    return chain([("given", _random_findings(q, events))], passes.classification_events(q, "given", "run-1"))
+
+
+@sql("context_words", "conversations")
+def _(q, conversations):
+    """What words beside a value would add to its confidence."""
+    return f"SELECT conv_id, turn, CAST({T.context_adjustment(q, 'text', ['please', 'the', 'und'], ['test', 'la', 'der'])} AS DOUBLE) AS delta FROM {conversations} WHERE text IS NOT NULL"
+
+
 @sql("feature_vectors", "events")
 def _(q, events):
     """The numbers a second-stage model would see of a column's findings."""
