@@ -11,12 +11,18 @@ from ..operators import engines, metrics, passes, spans, structured, zones
 from ..patterns import content_patterns
 from ..sources import prompts
 from ..streaming import jobs
-from .catalogue import FRAMES, _random_findings, _text, read, spread, sql
+from .catalogue import FRAMES, SUMS, _random_findings, _text, read, spread, sql
 from .sql import chain
 
 _BY_NAME = {p.name: p for p in content_patterns()}
 
 
+#: Patterns counted over whole texts
+_COUNTED = [p for p in content_patterns() if p.category != "Credential" and not p.hints and not p.regex.startswith("%b(?i)")]
+SUMS |= {f"scan_{n}": ["valid"] for n in ("email", "ipv4", "card", "phone", "url")}
+SUMS |= {"pii_spans_by_pattern": [p.name for p in _COUNTED], "zone_line_measures": ["blank", "listed", "commas"], "confidence_buckets": ["high", "mid", "low"], "label_set_metrics": ["exact", "hit", "missed", "extra", "all_missed"], "session_counts": ["sessions"]}
+
+
 def _scan(name, pattern, table, key, column):
     p = _BY_NAME[pattern] if isinstance(pattern, str) else pattern
 
@@ -37,8 +43,7 @@ _scan("scan_url", "url", "pages", "page_id", "html")
 @sql("pii_spans_by_pattern", "documents")
 def _(q, documents):
     """Matches of every PII, health and financial pattern over the whole texts."""
-    ps = [p for p in content_patterns() if p.category != "Credential" and not p.hints and not p.regex.startswith("%b(?i)")]
-    counts = ", ".join(f"sum(CASE WHEN {engines.screened(q, p.regex)} THEN {q.size(q.all('text', p.regex, 0))} ELSE 0 END) AS {p.name}" for p in ps)
+    counts = ", ".join(f"sum(CASE WHEN {engines.screened(q, p.regex)} THEN {q.size(q.all('text', p.regex, 0))} ELSE 0 END) AS {p.name}" for p in _COUNTED)
     return f"SELECT source, {counts} FROM (SELECT source, text, {engines.screen_columns(q, 'text')} FROM {documents} WHERE text IS NOT NULL) d_ GROUP BY source"
 
 
