@@ -11,11 +11,15 @@ all pairs of a small bucket, and in a large one the edges of a breadth-first sea
 each reached member with all that are not reached yet, so groups of thousands of copies cost one
 pass and nothing is capped. Candidate pairs whose signatures agree in SCREEN of the registers are
 verified with the exact weighted Jaccard of their shingles (sum of lesser weights / sum of greater)
-against THRESHOLD. Groups are the connected components, found by alternating large-star and
-small-star steps, each cut by a table in the shared folder.
+against THRESHOLD. The first search takes agreement in SCREEN for reached. A tree of it all of whose
+edges are verified is settled; the members of one with an edge below THRESHOLD are searched again
+with their shingles, where only a verified edge counts as reached, so every such pair of a bucket
+is found or its documents are connected. Groups are the connected components, found by alternating
+large-star and small-star steps, each cut by a table in the shared folder.
 
-Shuffles: (band key, doc_id) rows, signatures of candidates, and shingles of verified candidates
-only. Texts are never moved.
+Shuffles: (band key, doc_id) rows, signatures of candidates, shingles of verified candidates and of
+trees searched again. Texts are never moved. A worker holds the signatures of a bucket, or the
+shingles of a tree searched again.
 
 Defined cases: rows without doc_id or without a word take no part and are kept; rows repeating a
 doc_id count as one document (its first text in text order) and ``filtered`` keeps one of them;
@@ -158,6 +162,16 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(start, append=len(key))
 
 
+def _set_key(members: np.ndarray) -> np.int64:
+    with np.errstate(over="ignore"):
+        return mix(members.astype(np.uint64)).sum(dtype=np.uint64).view(np.int64)
+
+
+def _agreeing(sig: np.ndarray, at: int, left: np.ndarray, need: int) -> np.ndarray:
+    """Which of ``left`` agree with ``at`` in at least ``need`` registers."""
+    return np.concatenate([(sig[left[i : i + 4096]] == sig[at]).sum(axis=1) >= need for i in range(0, len(left), 4096)])
+
+
 def _buckets(c: dict) -> list:
     """Pairs of small buckets (band null), members of large ones (b null) with a key of their set."""
     key, doc = c["band"], c["doc_id"]
@@ -170,11 +184,10 @@ def _buckets(c: dict) -> list:
         b.append(rows[:, j].ravel())
     pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.zeros((2, 0), np.int64)
     la, lb = [], []
-    with np.errstate(over="ignore"):
-        for s, n in zip(start[size > SMALL_BUCKET], size[size > SMALL_BUCKET]):
-            members = doc[s : s + n]
-            la.append(members)
-            lb.append(np.full(n, np.int64(mix(members.astype(np.uint64)).sum(dtype=np.uint64).view(np.int64))))
+    for s, n in zip(start[size > SMALL_BUCKET], size[size > SMALL_BUCKET]):
+        members = doc[s : s + n]
+        la.append(members)
+        lb.append(np.full(n, _set_key(members)))
     big = np.concatenate(la) if la else np.zeros(0, np.int64)
     one = np.concatenate([pairs[0], big])
     two = pa.array(np.concatenate([pairs[1], np.zeros(len(big), np.int64)]), mask=np.concatenate([np.zeros(pairs.shape[1], bool), np.ones(len(big), bool)]))
@@ -183,10 +196,11 @@ def _buckets(c: dict) -> list:
 
 
 def _search(c: dict) -> list:
-    """Edges of a breadth-first search through the members of a bucket, by signature agreement."""
+    """Edges of a breadth-first search through the members of a bucket, by signature agreement, with a
+    key of the set of members of their tree."""
     key, doc = c["bucket"], c["doc_id"]
     need = int(np.ceil(SCREEN * REGISTERS))
-    a, b = [], []
+    a, b, tree = [], [], []
     for s, n in zip(*_runs(key)):
         order = np.argsort(doc[s : s + n], kind="stable") + s
         ids = doc[order]
@@ -194,17 +208,63 @@ def _search(c: dict) -> list:
         left = np.arange(n)
         while len(left):
             queue, left = [left[0]], left[1:]
+            reached, first = [left[:0], np.array(queue)], len(a)
             while queue and len(left):
                 at = queue.pop()
-                hit = np.concatenate([(sig[left[i : i + 4096]] == sig[at]).sum(axis=1) >= need for i in range(0, len(left), 4096)])
+                hit = _agreeing(sig, at, left, need)
                 a.append(np.full(int(hit.sum()), ids[at]))
                 b.append(ids[left[hit]])
+                reached.append(left[hit])
                 queue.extend(left[hit])
                 left = left[~hit]
+            tree.append(np.full(sum(map(len, a[first:])), _set_key(ids[np.concatenate(reached)])))
     if not a:
-        return [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        return [np.zeros(0, np.int64)] * 3
+    a, b = np.concatenate(a), np.concatenate(b)
+    return [np.minimum(a, b), np.maximum(a, b), np.concatenate(tree)]
+
+
+def _settle(c: dict) -> list:
+    """Verified edges (a, b, similarity) of a breadth-first search through the members of a tree, in which
+    only a verified edge reaches a member: the others stay and are compared with all that follow."""
+    key, doc = c["tree"], c["doc_id"]
+    need = int(np.ceil(SCREEN * REGISTERS))
+    a, b, sim = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for s, n in zip(*_runs(key)):
+        order = np.argsort(doc[s : s + n], kind="stable") + s
+        ids = doc[order]
+        sig, element, count = (c[k].take(pa.array(order)).to_pylist() for k in ("sig", "s", "n"))
+        sig = np.frombuffer(b"".join(sig), np.uint32).reshape(n, REGISTERS)
+        size = np.array([len(x) // 8 for x in element])
+        start = np.cumsum(size) - size
+        names, place = np.unique(np.frombuffer(b"".join(element), np.uint64), return_inverse=True)
+        count = np.frombuffer(b"".join(count), np.uint32).astype(np.int64)
+        total = np.add.reduceat(count, start)
+        own = np.zeros(len(names), np.int64)
+        left = np.arange(n)
+        while len(left):
+            queue, left = [left[0]], left[1:]
+            while queue and len(left):
+                at = queue.pop()
+                hit = np.flatnonzero(_agreeing(sig, at, left, need))
+                mine = slice(start[at], start[at] + size[at])
+                own[place[mine]] = count[mine]
+                got = np.zeros(len(hit))
+                for i in range(0, len(hit), 1024):
+                    x = left[hit[i : i + 1024]]
+                    begin = np.cumsum(size[x]) - size[x]
+                    row = np.arange(size[x].sum()) + np.repeat(start[x] - begin, size[x])
+                    low = np.add.reduceat(np.minimum(own[place[row]], count[row]), begin)
+                    got[i : i + 1024] = low / (total[at] + total[x] - low)
+                own[place[mine]] = 0
+                hit, got = hit[got >= THRESHOLD], got[got >= THRESHOLD]
+                a.append(np.full(len(hit), ids[at]))
+                b.append(ids[left[hit]])
+                sim.append(got)
+                queue.extend(left[hit])
+                left = np.delete(left, hit)
     a, b = np.concatenate(a), np.concatenate(b)
-    return [np.minimum(a, b), np.maximum(a, b)]
+    return [np.minimum(a, b), np.maximum(a, b), np.concatenate(sim)]
 
 
 def _agree(batches):
@@ -235,15 +295,22 @@ def pairs(docs: DataFrame) -> DataFrame:
     found = written(grouped(bands, "band", "a bigint, b bigint, bucket bigint", _buckets), "near-buckets")
     direct = found.where("bucket IS NULL").select("a", "b").distinct()
     members = found.where("bucket IS NOT NULL").select("bucket", F.col("a").alias("doc_id")).distinct().join(sig, "doc_id").select("bucket", "doc_id", "sig")
-    searched = grouped(members, "bucket", "a bigint, b bigint", _search).distinct()
+    searched = written(grouped(members, "bucket", "a bigint, b bigint, tree bigint", _search).distinct(), "near-searched")
     left, right = sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("x")), sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("y"))
     screened = direct.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_agree, "a bigint, b bigint")
-    edges = written(screened.unionByName(searched).distinct(), "near-edges")
+    edges = written(screened.unionByName(searched.select("a", "b")).distinct(), "near-edges")
     ids = small(edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-candidates")
     sets = written(added(texts.join(ids, "doc_id", "left_semi"), "__n_text", "s binary, n binary", _shingled).select("doc_id", "s", "n"), "near-shingles")
     sides = [sets.select(F.col("doc_id").alias(k), F.col("s").alias(f"s{k}"), F.col("n").alias(f"n{k}")) for k in "ab"]
     both = edges.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "na", "sb", "nb")
-    return both.mapInArrow(_verify, "a bigint, b bigint, similarity double").where(F.col("similarity") >= THRESHOLD)
+    judged = written(both.mapInArrow(_verify, "a bigint, b bigint, similarity double"), "near-judged")
+    # trees of more than one edge that hold a rejected one
+    far = judged.where(F.col("similarity") < THRESHOLD).select("a", "b", F.lit(1).alias("far"))
+    open_ = searched.join(far, ["a", "b"], "left").groupBy("tree").agg(F.count("*").alias("n"), F.max("far").alias("far")).where("far = 1 AND n > 1").select("tree")
+    open_ = small(open_, "near-open")
+    again = searched.join(open_, "tree", "left_semi").select("tree", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    settled = grouped(again.join(sig, "doc_id").join(sets, "doc_id").select("tree", "doc_id", "sig", "s", "n"), "tree", "a bigint, b bigint, similarity double", _settle)
+    return judged.where(F.col("similarity") >= THRESHOLD).unionByName(settled).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

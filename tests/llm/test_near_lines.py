@@ -100,6 +100,24 @@ def test_large_bucket_is_searched_whole(spark):
     assert rows(near.duplicates(frame(spark, docs))) == sorted(((i, 0) for i in range(1, 600)), key=repr)
 
 
+def test_large_bucket_of_rejected_pairs_keeps_true_ones(spark):
+    """400 documents of one template (similarity 0.45, rejected) and 40 pairs of 0.51 among them,
+    most of whose common bands are those of the template."""
+    rng = random.Random(12)
+    template = prose(rng, "en", 100)
+    own = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    docs = [f"{template} {own(60)}" for _ in range(400)]
+    twins = [f"{' '.join(docs[i].split()[:108])} {own(52)}" for i in range(0, 400, 10)]
+    texts = dict(enumerate(docs + twins))
+    near_ids = {400 + k: 10 * k for k in range(40)}
+    some = [(i, j) for i in range(0, 440, 7) for j in range(i + 1, 440, 5)]
+    sets = {i: shingled(t) for i, t in texts.items()}
+    assert all(near.THRESHOLD < similarity(sets[a], sets[b]) < 0.52 for a, b in near_ids.items())
+    assert all(near.SCREEN < similarity(sets[a], sets[b]) < near.THRESHOLD for a, b in some if near_ids.get(b) != a)
+    got = {tuple(r) for r in near.duplicates(frame(spark, [(i, t, "en", "web") for i, t in texts.items()])).collect()}
+    assert got <= set(near_ids.items()) and len(got) >= 39
+
+
 def line_corpus():
     rng = random.Random(7)
     base = [prose(rng, "de", rng.randint(5, 15)) for _ in range(60)]
