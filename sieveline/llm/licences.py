@@ -1,7 +1,9 @@
 """Licence scans: Aho-Corasick for identifier tags and notice phrases, shunting-yard for expressions.
 
 One automaton over lower-case words finds notice phrases ("apache license version 2 0") and the SPDX
-identifier tag; of overlapping hits the leftmost longest counts. The expression after a tag is
+identifier tag; of overlapping hits the leftmost longest counts. Phrases are names with versions, the
+headers of files ("as published by the Free Software Foundation, either version 3 ...") and passages of full
+texts; of BSD texts, which contain each other, the longest counts. The expression after a tag is
 parsed by Dijkstra's shunting-yard algorithm (WITH binds tighter than AND, AND than OR; ids are
 case-insensitive; "+" means or later) and evaluated to a class: a choice (OR) is as free as its freest
 side, a conjunction (AND) as strict as its strictest, and a known exception (WITH) makes copyleft
@@ -34,7 +36,7 @@ LICENCES = {
     "public-domain": "CC0-1.0 Unlicense 0BSD",
     "permissive": "MIT MIT-0 Apache-2.0 Apache-1.1 BSD-2-Clause BSD-3-Clause BSD-4-Clause ISC Zlib BSL-1.0 CC-BY-3.0 CC-BY-4.0 PSF-2.0 Python-2.0 Artistic-2.0 PostgreSQL X11 NCSA WTFPL",
     "weak-copyleft": "LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MPL-1.1 MPL-2.0 EPL-1.0 EPL-2.0 CDDL-1.0 CDDL-1.1 CC-BY-SA-3.0 CC-BY-SA-4.0 OFL-1.1",
-    "copyleft": "GPL-1.0-only GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later EUPL-1.2 GFDL-1.3-only",
+    "copyleft": "GPL-1.0-only GPL-1.0-or-later GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later EUPL-1.2 GFDL-1.3-only GFDL-1.3-or-later",
     "network-copyleft": "AGPL-3.0-only AGPL-3.0-or-later SSPL-1.0 OSL-3.0",
     "restricted": "CC-BY-NC-3.0 CC-BY-NC-4.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0 CC-BY-ND-4.0 BUSL-1.1",
     "proprietary": "LicenseRef-All-Rights-Reserved LicenseRef-Proprietary",
@@ -78,6 +80,81 @@ PHRASES = {
     "OFL-1.1": ["sil open font license version 1 1"],
     "WTFPL": ["do what the fuck you want to public license"],
 }
+#: Notices of files and full texts, in words.
+NOTICES = {
+    "Apache-1.1": ["apache software license version 1 1", "apache license version 1 1"],
+    "Apache-2.0": ["apache license v2 0", "apache license v 2 0", "apache software license version 2 0", "apache software license 2 0"],
+    "MPL-1.1": ["mozilla public license version 1 1", "mozilla public license v 1 1", "mozilla public license v1 1", "mozilla public license 1 1"],
+    "MPL-2.0": ["mozilla public license v 2 0", "mozilla public license v2 0"],
+    "EPL-1.0": ["eclipse public license version 1 0", "eclipse public license v 1 0", "eclipse public license v1 0", "eclipse public license 1 0"],
+    "EPL-2.0": ["eclipse public license v 2 0", "eclipse public license 2 0"],
+    "CDDL-1.0": ["common development and distribution license", "common development and distribution license cddl version 1 0", "common development and distribution license version 1 0", "cddl version 1 0"],
+    "CDDL-1.1": ["common development and distribution license cddl version 1 1", "common development and distribution license version 1 1", "cddl version 1 1"],
+    "ISC": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that"],
+    "0BSD": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided", "bsd zero clause license", "zero clause bsd license"],
+    "MIT-0": ["mit no attribution", "mit 0 license"],
+    "Zlib": ["zlib license", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"],
+    "BSL-1.0": ["boost software license 1 0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"],
+    "NCSA": ["university of illinois ncsa open source license", "ncsa open source license"],
+    "X11": ["x11 license"],
+    "PostgreSQL": ["postgresql license", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"],
+    "PSF-2.0": ["psf license agreement", "psf license version 2", "python software foundation license version 2"],
+    "Artistic-2.0": ["artistic license 2 0", "artistic license version 2 0"],
+    "Python-2.0": ["python license 2 0"],
+    "OSL-3.0": ["open software license version 3 0", "open software license v 3 0", "open software license 3 0"],
+    "EUPL-1.2": ["european union public licence version 1 2", "european union public licence v1 2", "eupl version 1 2", "eupl v1 2"],
+    "BSD-3-Clause": ["new bsd license", "modified bsd license"],
+    "BSD-4-Clause": ["bsd 4 clause", "4 clause bsd license", "original bsd license"],
+    "GFDL-1.3-or-later": ["gnu free documentation license version 1 3 or any later version"],
+    "GFDL-1.3-only": ["gnu free documentation license version 1 3", "gnu free documentation license v1 3"],
+    "OFL-1.1": ["sil open font license 1 1", "sil ofl 1 1"],
+    "BUSL-1.1": ["business source license version 1 1"],
+    "SSPL-1.0": ["server side public license version 1"],
+    "CC0-1.0": ["creative commons org publicdomain zero 1 0", "creativecommons org publicdomain zero 1 0", "cc0 1 0 universal"],
+}
+for _f, _w in (("by", "attribution"), ("by sa", "attribution sharealike"), ("by sa", "attribution share alike"), ("by nc", "attribution noncommercial"), ("by nc", "attribution non commercial"), ("by nc sa", "attribution noncommercial sharealike"), ("by nc nd", "attribution noncommercial noderivatives"), ("by nc nd", "attribution noncommercial noderivs"), ("by nd", "attribution noderivatives"), ("by nd", "attribution noderivs")):
+    for _v in ("3.0", "4.0"):
+        _i, _n = f"CC-{_f.upper().replace(' ', '-')}-{_v}", _v.replace(".", " ")
+        if _i.lower() in CLASS_OF:
+            NOTICES.setdefault(_i, []).extend([f"cc {_f} {_n}", f"creative commons {_w} {_n}", f"creative commons {_w} {_n} international", f"creative commons {_w} {_n} unported", f"creativecommons org licenses {_f} {_n}"])
+
+
+def gnu() -> dict[str, list[str]]:
+    """Notices of the GPL, LGPL and AGPL: file headers as published, the version before or after the name,
+    and short forms; "or any later version" makes another licence."""
+    out: dict[str, list[str]] = {}
+    names = {"GPL": ["general"], "LGPL": ["lesser general", "library general"], "AGPL": ["affero general"]}
+    fsf = "as published by the free software foundation"
+    later = ("or any later version", "or at your option any later version", "or later", "or newer", "or higher", "or above")
+    for f, vs in (("GPL", ("1.0", "2.0", "3.0")), ("LGPL", ("2.0", "2.1", "3.0")), ("AGPL", ("3.0",))):
+        low = f.lower()
+        full = [f"gnu {n} public license" for n in names[f]] + [f"{n} public license" for n in names[f] if f != "GPL"]
+        for v in vs:
+            only, more = [], []
+            for n in {v.replace(".", " "), v.removesuffix(".0").replace(".", " ")}:
+                for name in [low, f"gnu {low}", *full, *[f"{x} {low}" for x in full]]:
+                    # a bare number after "gpl" alone would be the id of a tag
+                    only += [f"{name} {g}{n}" for g in ("version ", "v", "v ", "")[: 3 if name == low else 4]]
+                only += [f"{low}v{n}", f"gnu {low}v{n}"]
+                for x in full:
+                    only += [f"{x} {g}version {n}{end}" for g in ("", "either ", "only ", f"{fsf} ", f"{fsf} either ", f"{fsf} only ") for end in ("", " of the license")]
+                    only += [f"{x} version {n} {fsf}", f"version {n} of the {x}", f"version {n} of the {x} {fsf}"]
+                    more += [f"version {n} {y} of the {x}" for y in later]
+            out[f"{f}-{v}-only"] = only
+            out[f"{f}-{v}-or-later"] = more + [f"{x} {y}" for x in only for y in later]
+    return out
+
+
+#: Full texts of the BSD family: each holds the opening and the clauses of the shorter ones; the longest counts.
+BSD_TEXTS = {
+    "redistribution and use in source and binary forms": (0, "BSD-2-Clause"),
+    "may be used to endorse or promote products derived from this software without specific prior written permission": (1, "BSD-3-Clause"),
+    "may be used to endorse or promote products derived from this software without prior written permission": (1, "BSD-3-Clause"),
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": (2, "BSD-4-Clause"),
+}
+for _more in (NOTICES, gnu(), *({i: [p]} for p, (_, i) in BSD_TEXTS.items())):
+    for _i, _p in _more.items():
+        PHRASES[_i] = list(dict.fromkeys([*PHRASES.get(_i, []), *_p]))
 
 _TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9.:\-]+\+?)")
 _RANK = {"or": 1, "and": 2, "with": 3}
@@ -178,7 +255,7 @@ def automaton():
     auto = ahocorasick.Automaton()
     for i, phrases in PHRASES.items():
         for p in phrases:
-            auto.add_word(f" {p} ", (len(p), i))
+            auto.add_word(f" {p} ", (len(p), BSD_TEXTS.get(p, i)))
     auto.add_word(f" {TAG} ", (len(TAG), None))
     auto.make_automaton()
     return auto
@@ -209,7 +286,12 @@ def scan(off: np.ndarray, data: np.ndarray) -> list[list]:
     names, text, cls, hits = [""] * n, [None] * n, ["none"] * n, np.zeros(n, np.int32)
     for d, got in found.items():
         terms, ids, level, count = [], [], 0, 0
+        text_of = max((i for i in got if isinstance(i, tuple)), default=None)
         for i in got:
+            if isinstance(i, tuple):
+                if i != text_of:
+                    continue
+                i = i[1]
             if i is not None:
                 count += 1
                 terms.append(i)

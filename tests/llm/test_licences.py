@@ -77,3 +77,47 @@ def test_phrases_against_brute_force():
     off = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
     names, *_ = licences.scan(off, np.frombuffer(b"".join(raw), np.uint8))
     assert names == [i for i, _ in phrases]
+
+
+FSF = "it under the terms of the GNU{} General Public License as published by the\n * Free Software Foundation; either version {} of the License, or (at your option)\n * any later version."
+BSD = "Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:"
+NAMES = "Neither the name of X nor the names of its contributors may be used to endorse or promote products\n derived from this software without specific prior written permission."
+ADS = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: made by X."
+
+
+@pytest.mark.parametrize(
+    ("text", "name", "cls"),
+    [
+        (FSF.format("", 3), "GPL-3.0-or-later", "copyleft"),
+        (FSF.format("", 2), "GPL-2.0-or-later", "copyleft"),
+        (FSF.format("", 1), "GPL-1.0-or-later", "copyleft"),
+        (FSF.format(" Lesser", "2.1"), "LGPL-2.1-or-later", "weak-copyleft"),
+        (FSF.format(" Lesser", 3), "LGPL-3.0-or-later", "weak-copyleft"),
+        (FSF.format(" Library", 2), "LGPL-2.0-or-later", "weak-copyleft"),
+        (FSF.format(" Affero", 3), "AGPL-3.0-or-later", "network-copyleft"),
+        ("under version 2 of the GNU General Public License as published by the Free Software Foundation.", "GPL-2.0-only", "copyleft"),
+        ("the GNU General Public License as published by the Free Software Foundation, version 2.", "GPL-2.0-only", "copyleft"),
+        ("GNU Lesser General Public License v2.1", "LGPL-2.1-only", "weak-copyleft"),
+        ("GNU Lesser General Public License v3", "LGPL-3.0-only", "weak-copyleft"),
+        ("GNU General Public License v3 or later", "GPL-3.0-or-later", "copyleft"),
+        ("GNU GPL version 2 or later", "GPL-2.0-or-later", "copyleft"),
+        ("subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy", "MPL-2.0", "weak-copyleft"),
+        (BSD, "BSD-2-Clause", "permissive"),
+        (f"{BSD} {NAMES}", "BSD-3-Clause", "permissive"),
+        (f"{BSD} {ADS} {NAMES}", "BSD-4-Clause", "permissive"),
+        ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above", "ISC", "permissive"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED", "0BSD", "public-domain"),
+        ("terms of the Eclipse Public License v1.0 which", "EPL-1.0", "weak-copyleft"),
+        ("the Common Development and Distribution License (the License)", "CDDL-1.0", "weak-copyleft"),
+    ],
+)
+def test_notices(text, name, cls):
+    raw = np.frombuffer(f"/* {text}\n".lower().encode(), np.uint8)
+    names, _, classes, hits = licences.scan(np.array([0, len(raw)]), raw)
+    assert (names, classes, list(hits)) == ([name], [cls], [1])
+
+
+def test_every_licence_has_phrases():
+    assert {i.lower() for i in licences.PHRASES} == set(licences.CLASS_OF)
+    said = [p for ps in licences.PHRASES.values() for p in ps]
+    assert len(said) == len(set(said))
