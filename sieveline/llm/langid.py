@@ -11,8 +11,9 @@ the classifier alone; labelling covers every word of every text.
 Labelling takes the highest posterior marginal of each word by forward-backward, exactly, over whole
 texts. All texts of a chunk form one chain (a text's first word forgets what was before), cut
 into blocks whose transfer matrices are multiplied side by side, so numpy steps go over hundreds of
-blocks at once and a text of any length costs the same per word. The weights (4 MB by default, a
-fixed size) are broadcast. One pass, no shuffle.
+blocks at once and a text of any length costs the same per word. The weights (1 MB for each label)
+are broadcast. There may be any number of labels: lexicon membership is a row of words of 62 bits.
+Words of many labels are handled in smaller chunks. One pass, no shuffle.
 
 Defined cases: null, empty and wordless texts have no words, no language and no spans; a null or
 empty lang is no label and never trained on; with fewer than two labels every word gets the only one
@@ -39,6 +40,9 @@ EPOCHS = 4
 SEQUENCE_WORDS, RUN = 48, (3, 14)
 RATE, DECAY = 0.15, 1e-6
 AFFIX = 4
+#: Labels of a word of lexicon membership; bytes of text handled at once with up to CHUNK_LABELS labels.
+MEMBERS = 62
+CHUNK, CHUNK_LABELS = 1 << 20, 16
 
 
 class Model:
@@ -47,7 +51,7 @@ class Model:
     def __init__(self, labels: list[str], lexicon: tuple[np.ndarray, np.ndarray]):
         self.labels = labels
         n = len(labels)
-        self.words, self.sets = lexicon  # sorted word hashes, bit set of labels
+        self.words, self.sets = lexicon  # sorted word hashes, bit sets of labels (words x label words)
         self.weights = np.zeros(((1 << BITS) + n + 1, n), np.float32)
         self.next = np.zeros((n, n))
         self.first = np.zeros(n)
@@ -69,11 +73,11 @@ def features(part: np.ndarray, start: np.ndarray, end: np.ndarray, words: np.nda
     none = np.int32((1 << BITS) + n)
     if len(words):
         at = np.minimum(np.searchsorted(words, whole), len(words) - 1)
-        held = np.where(words[at] == whole, sets[at], 0)
+        held = np.where((words[at] == whole)[:, None], sets[at], 0)
     else:
-        held = np.zeros(len(whole), np.int64)
+        held = np.zeros((len(whole), -(-n // MEMBERS)), np.int64)
     for k in range(n):
-        cols.append(np.where(held >> k & 1, np.int32((1 << BITS) + k), none))
+        cols.append(np.where(held[:, k // MEMBERS] >> k % MEMBERS & 1, np.int32((1 << BITS) + k), none))
     # trigrams; what is outside the word counts as one blank
     code = part.astype(np.uint32)
     left = np.concatenate([[0], code[:-1]]).astype(np.uint32)
@@ -189,8 +193,8 @@ def sequences(texts: list[tuple[str, str]], labels: list[str], count: int, seed:
 
 
 def lexica(texts: list[tuple[str, str]], labels: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of each language's most frequent words, and the languages of each as bits."""
-    sets: dict[int, int] = {}
+    """Sorted hashes of each language's most frequent words, and the languages of each as rows of bits."""
+    sets: dict[int, list[int]] = {}
     for k, lang in enumerate(labels):
         hs = []
         for x, text in texts:
@@ -200,9 +204,13 @@ def lexica(texts: list[tuple[str, str]], labels: list[str]) -> tuple[np.ndarray,
         if hs:
             h, n = np.unique(np.concatenate(hs), return_counts=True)
             for v in h[np.lexsort((h, -n))[:LEXICON]].tolist():
-                sets[v] = sets.get(v, 0) | 1 << k
+                sets.setdefault(v, []).append(k)
     keys = np.array(sorted(sets), np.uint64)
-    return keys, np.array([sets[v] for v in sorted(sets)], np.int64)
+    bits = np.zeros((len(keys), -(-len(labels) // MEMBERS)), np.int64)
+    for i, v in enumerate(sorted(sets)):
+        for k in sets[v]:
+            bits[i, k // MEMBERS] |= 1 << k % MEMBERS
+    return keys, bits
 
 
 def _flat(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -217,11 +225,9 @@ def train(texts: list[tuple[str, str]]) -> Model:
     labels = sorted({x for x, _ in texts})
     m = Model(labels, lexica(texts, labels))
     k = len(labels)
-    if k > 62:
-        raise ValueError(f"{k} languages; a lexicon entry holds 62")
     if k < 2:
         return m
-    words, gold = sequences(texts, labels, SEQUENCES)
+    words, gold = sequences(texts, labels, max(SEQUENCES, 40 * k))
     part, start, end = _flat(words)
     rows, tri, size = features(part, start, end, m.words, m.sets, k)
     t = SEQUENCE_WORDS
@@ -326,7 +332,7 @@ def labelled(docs: DataFrame, model: Model) -> DataFrame:
         m = held.value
         for b in batches:
             off, data = string_buffer(b.column(1))
-            for i, j in chunks(off, 1 << 20):
+            for i, j in chunks(off, CHUNK * CHUNK_LABELS // max(CHUNK_LABELS, len(m.labels))):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *summed(m, off[i : j + 1], data)], names=names)
 
     given = docs.select("doc_id", lowered(F.col("text")).alias("low"))

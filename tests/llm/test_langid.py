@@ -87,3 +87,22 @@ def test_sample_bound_and_labels(spark, odd, empty):
     assert none.labels == [] and {r.n_words for r in langid.labelled(odd, none).collect()} == {0}
     one = langid.train([("en", "some words here")])
     assert {r.lang for r in langid.labelled(docs, one).collect()} == {"en"}
+
+
+def test_more_labels_than_bits(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SEQUENCES", 300)
+    monkeypatch.setattr(langid, "EPOCHS", 1)
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{k:02d}": ["".join(rng.choice(letters) for _ in range(6)) for _ in range(8)] for k in range(70)}
+    text = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(30))
+    model = langid.train([(lang, text(lang)) for lang in words for _ in range(3)])
+    keys, sets = model.words, model.sets
+    assert model.labels == sorted(words) and sets.shape == (len(keys), 2)
+    for k, lang in enumerate(model.labels):
+        raw = np.frombuffer((words[lang][0] + "\n").encode(), np.uint8)
+        rows_, *_ = langid.features(raw, np.array([0]), np.array([6]), keys, sets, 70)
+        assert (1 << langid.BITS) + k in rows_[0]
+    docs = frame(spark, [(k, text(lang), None, "web") for k, lang in enumerate(model.labels)])
+    got = {r.doc_id: r.lang for r in langid.labelled(docs, model).collect()}
+    assert sum(got[k] == lang for k, lang in enumerate(model.labels)) >= 66
