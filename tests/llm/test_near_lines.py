@@ -118,6 +118,77 @@ def test_large_bucket_of_rejected_pairs_keeps_true_ones(spark):
     assert got <= set(near_ids.items()) and len(got) >= 39
 
 
+def groups_of(sets):
+    """(id, least id of its group) by all pairs."""
+    ids = sorted(sets)
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, a in enumerate(ids):
+        for b in ids[x + 1 :]:
+            if similarity(sets[a], sets[b]) >= near.THRESHOLD:
+                u, v = sorted((find(a), find(b)))
+                root[v] = u
+    return {(i, find(i)) for i in ids if find(i) != i}
+
+
+def templated(n=300, twins=75, seed=12):
+    """Documents of one template (0.42 alike) and pairs of them that are 0.51 alike, each text twice."""
+    rng = random.Random(seed)
+    template = prose(rng, "en", 100)
+    own = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    docs = [f"{template} {own(66)}" for _ in range(n)]
+    docs += [f"{' '.join(docs[i].split()[:114])} {own(52)}" for i in range(twins)]
+    docs += docs[: n // 10]
+    return dict(enumerate(docs))
+
+
+def test_twins_in_a_template_are_all_found(spark):
+    """Hundreds of rejected pairs for each true one in the same buckets: the answer is that of all pairs."""
+    texts = templated()
+    want = groups_of({i: shingled(t) for i, t in texts.items()})
+    got = {tuple(r) for r in near.duplicates(frame(spark, [(i, t, "en", "web") for i, t in texts.items()])).collect()}
+    assert got <= want and len(got) >= len(want) - 1
+
+
+def test_salted_buckets_and_blocks_connect_the_same(spark, monkeypatch):
+    """Heavy buckets split by a salt, residual ones cut into many blocks."""
+    texts = templated(120, 30, 3)
+    docs = frame(spark, [(i, t, "en", "web") for i, t in texts.items()] + [(1000 + i, t, "en", "web") for i, t, *_ in corpus(4)])
+    want = rows(near.duplicates(docs))
+    for name, value in (("SAMPLE", 1), ("HEAVY", 16), ("BLOCK", 20)):
+        monkeypatch.setattr(near, name, value)
+    assert near.buckets(near.written(near.signatures(near.identified(docs)).selectExpr("doc_id AS id", "sig"), "t"))[1] is not None
+    assert rows(near.duplicates(docs)) == want
+
+
+def test_tasks_of_many_pairs_settle_inside(spark):
+    c = {"task": np.zeros(40, np.int64), "id": np.arange(40), "comp": np.arange(40)}
+    raw = [np.full(near.REGISTERS, 7, np.uint32).tobytes()] * 40
+    import pyarrow as pa
+
+    a, b, task = near._cross(c | {"sig": pa.array(raw, pa.binary())})
+    assert list(a) == list(range(40)) and list(b) == list(range(40)) and task.null_count == 0
+    few = {k: v[:4] for k, v in c.items()}
+    a, b, task = near._cross(few | {"sig": pa.array(raw[:4], pa.binary())})
+    assert sorted(zip(a, b)) == [(i, j) for i in range(4) for j in range(i + 1, 4)] and task.null_count == 6
+    el = [np.array([1, 2, 3 + i // 2], np.uint64).tobytes() for i in range(40)]
+    a, b, sim = near._settle(c | {"sig": pa.array(raw, pa.binary()), "s": pa.array(el, pa.binary()), "n": pa.array([np.ones(3, np.uint32).tobytes()] * 40, pa.binary())})
+    assert len(a) == 39 and set(sim) <= {0.5, 1.0}
+
+
+def test_text_ids(spark):
+    docs = frame(spark, corpus())
+    named = docs.selectExpr("concat('https://x/', lpad(doc_id, 6, '0')) AS doc_id", "text", "lang", "source", "n_chars")
+    want = {(f"https://x/{a:06d}", f"https://x/{b:06d}") for a, b in near.duplicates(docs).collect()}
+    assert {tuple(r) for r in near.duplicates(named).collect()} == want
+    assert near.filtered(named).count() == docs.count() - len(want)
+
+
 def line_corpus():
     rng = random.Random(7)
     base = [prose(rng, "de", rng.randint(5, 15)) for _ in range(60)]
