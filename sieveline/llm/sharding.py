@@ -9,8 +9,10 @@ draws inside every subtree whose weights are unchanged stay what they were.
 A pure column expression: no shuffle, no UDF, only the key column is read.
 
 Defined cases: a null key is drawn as the text ``<null>``; repeated rows and equal keys go to the
-same shard; an empty table gives an empty result; equal draws go to the child listed first; other
-columns of the table are not touched, and clashing ones named region, rack, shard are replaced.
+same shard, whatever the length of a text key; an empty table gives an empty result; equal draws go to the child
+listed first; a node without a child of positive weight gives null below it; other columns of the table are not
+touched, clashing ones named region, rack, shard are replaced, also if one of them is the key; names starting
+with ``__s_`` are reserved.
 """
 
 from __future__ import annotations
@@ -51,18 +53,32 @@ def _choose(key: Column, path: str, children: Mapping) -> Column:
 
 
 def assign(df: DataFrame, key: str = "doc_id", tree: Mapping = TREE) -> DataFrame:
-    """Add region, rack and shard."""
+    """Add region, rack and shard. Each level's choice is one column of its own, taken from a map by the path above, so
+    that a key named like a level is read before it is replaced and no level repeats another's draws."""
     k = F.coalesce(F.col(key).cast("string").cast("binary"), F.lit("<null>").cast("binary"))
-    out = df.withColumn("region", _choose(k, "", tree))
+    out = df.withColumns({"__s_key": k})
+    out = out.withColumn("__s_region", _choose(F.col("__s_key"), "", tree))
     rack = shard = None
     for r, (_, racks) in tree.items():
-        c = _choose(k, r, racks) if any(_weight(x) > 0 for x in racks.values()) else F.lit(None)
-        rack = F.when(F.col("region") == r, c) if rack is None else rack.when(F.col("region") == r, c)
+        if not any(_weight(x) > 0 for x in racks.values()):
+            continue
+        at = F.col("__s_region") == r
+        c = _choose(F.col("__s_key"), r, racks)
+        rack = F.when(at, c) if rack is None else rack.when(at, c)
+    out = out.withColumn("__s_rack", F.lit(None).cast("string") if rack is None else rack)
+    for r, (_, racks) in tree.items():
+        inner = None
         for a, (_, shards) in racks.items():
-            at = (F.col("region") == r) & (F.col("rack") == a)
-            c = _choose(k, f"{r}/{a}", shards) if any(w > 0 for w in shards.values()) else F.lit(None)
-            shard = F.when(at, c) if shard is None else shard.when(at, c)
-    return out.withColumn("rack", rack).withColumn("shard", shard)
+            if any(w > 0 for w in shards.values()):
+                at = F.col("__s_rack") == a
+                c = _choose(F.col("__s_key"), f"{r}/{a}", shards)
+                inner = F.when(at, c) if inner is None else inner.when(at, c)
+        if inner is not None:
+            at = F.col("__s_region") == r
+            shard = F.when(at, inner) if shard is None else shard.when(at, inner)
+    out = out.withColumn("__s_shard", F.lit(None).cast("string") if shard is None else shard)
+    names = [c for c in df.columns if c not in LEVELS]
+    return out.select(*[F.col(f"`{c}`") if c in names else F.col(f"__s_{c}").alias(c) for c in df.columns], *[F.col(f"__s_{c}").alias(c) for c in LEVELS if c not in df.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
