@@ -5,21 +5,25 @@ words equal to the word before, lines that repeat a line of the same document. F
 (language, source) a sketch of each measure is a sparse histogram whose bucket width doubles with
 every power of two (relative error at most 1/32). Sketches merge by adding counts, so they are
 built by one map-side combined aggregation, and those of a language and of the whole table are
-sums of the finer ones. The cutoff of a measure is
+sums of the finer ones. A second sketch of each measure holds its unit, what one event (a symbol, a
+capital, a repeat) weighs in a document of that size. The cutoff of a measure is
 
-    median + max(SPREAD * (third quartile - first quartile), FLOOR of the measure)
+    median + SPREAD * max(median - first quartile, third quartile of the unit)
 
-from the sketch of the document's (language, source), or of its language, or of all documents, the
-first that saw at least MIN_DOCS documents. Documents above any cutoff are rejected by a join with
+from the sketches of the document's (language, source), or of its language, or of all documents, the
+first that saw at least MIN_DOCS documents: so many times the spread of the better half of the group, or
+so many events above what is usual there. Neither side moves unless half of a group is junk of one kind.
+Documents above any cutoff are rejected by a join with
 the cutoffs.
 
 The measures come from numpy over the code points of whole Arrow batches (the same as built-in
 regular-expression functions cost about fifteen times the CPU). Only the small sketch is shuffled. Texts are read twice and never moved: the table of cutoffs
 (languages x sources rows) is broadcast if its counted size allows, else joined by shuffle.
 
-Defined cases: a null or blank text is rejected; a null language or source forms its own group;
-repeated rows are each judged; an empty table gives an empty result; extra columns pass through
-``filtered`` unchanged, except that names starting with ``__q_`` are reserved.
+Defined cases: a null or blank text is rejected; a null language or source counts as an empty one; texts are
+measured whole whatever their length; a document at the cutoff stays, ties with it too; repeated rows are each
+judged; an empty table gives an empty result; extra columns pass through ``filtered`` unchanged, whatever their
+names, but names starting with ``__q_`` are reserved.
 """
 
 from __future__ import annotations
@@ -30,15 +34,17 @@ from pyspark.sql import functions as F
 
 from .common import LETTER, NUMBER, SPACE, UPPER, Slices, added, code_points, flags, read, small, sums, written
 
-SPREAD = 4
-MIN_DOCS = 100
-FLOORS = {"symbol": 600, "upper": 1500, "repeat": 1000, "dupline": 3000}
+SPREAD = {"symbol": 48, "upper": 48, "repeat": 16, "dupline": 2}
+MIN_DOCS = 30
+#: Added to the characters, letters, words and lines of a document, so that one event of a very short one weighs less.
+ADDED = {"symbol": 40, "upper": 20, "repeat": 5, "dupline": 3}
+SKETCHED = [*SPREAD, *[f"{k}_unit" for k in SPREAD]]
 #: Taken out of words before they are compared.
 PUNCTUATION = np.array([ord(c) for c in ".,!?;:"], np.uint32)
 
 
 def measure(off: np.ndarray, data: np.ndarray) -> list[np.ndarray]:
-    """The integer measures of consecutive texts, in the order of FLOORS."""
+    """The integer measures of consecutive texts, in the order of SPREAD, then their units."""
     at, cp = code_points(off, data)
     kind = flags()[cp]
     chars, letters = np.diff(at), sums(kind & LETTER > 0, at)
@@ -80,14 +86,16 @@ def measure(off: np.ndarray, data: np.ndarray) -> list[np.ndarray]:
     dup = np.bincount(ldoc[o][1:][again], minlength=len(at) - 1)
     lines = np.bincount(ldoc, minlength=len(at) - 1)
     part = lambda a, b: (a * 10000 // b).astype(np.int32)
-    return [part(sums(~plain, at), chars + 40), part(sums(kind & UPPER > 0, at), letters + 20), part(same, words + 5), part(dup, lines + 3)]
+    seen = [sums(~plain, at), sums(kind & UPPER > 0, at), same, dup]
+    size = [n + more for n, more in zip((chars, letters, words, lines), ADDED.values())]
+    return [*map(part, seen, size), *[part(1, n) for n in size]]
 
 
 def measured(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of the documents with text, their group, and the measures as ``__q_*``."""
+    """Columns ``keep`` of the documents with text, their group, and the measures and units as ``__q_*``."""
     some = _groups(df.where(F.col("text").rlike(r"\S")))
-    out = added(some, "text", ", ".join(f"__q_{k} int" for k in FLOORS), measure)
-    return out.select(*keep, "__q_lang", "__q_source", *[f"__q_{k}" for k in FLOORS])
+    out = added(some, "text", ", ".join(f"__q_{k} int" for k in SKETCHED), measure)
+    return out.select(*keep, "__q_lang", "__q_source", *[f"__q_{k}" for k in SKETCHED])
 
 
 def bucket(v: Column) -> Column:
@@ -104,7 +112,7 @@ def _groups(df: DataFrame) -> DataFrame:
 def sketches(df: DataFrame) -> DataFrame:
     """(lang, source, measure, bucket, n): the mergeable sketch of every group."""
     long = measured(df.select("text", "lang", "source"), [])
-    stacked = long.select("__q_lang", "__q_source", F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), bucket(F.col(f"__q_{k}")).alias("bucket")) for k in FLOORS])).alias("x"))
+    stacked = long.select("__q_lang", "__q_source", F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), bucket(F.col(f"__q_{k}")).alias("bucket")) for k in SKETCHED])).alias("x"))
     return stacked.groupBy(F.col("__q_lang").alias("lang"), F.col("__q_source").alias("source"), F.col("x.measure").alias("measure"), F.col("x.bucket").alias("bucket")).agg(F.count("*").alias("n"))
 
 
@@ -117,9 +125,9 @@ def _cutoffs(sketch: DataFrame, keys: list[str]) -> DataFrame:
     run = merged.withColumn("total", F.sum("n").over(by)).withColumn("below", F.sum("n").over(by.orderBy("bucket")))
     q = {k: F.min(F.when(F.col("below") * 4 >= F.col("total") * i, F.col("bucket"))).alias(f"q{i}") for i, k in ((1, "q1"), (2, "q2"), (3, "q3"))}
     quart = run.groupBy(*keys, "measure").agg(F.max("total").alias("docs"), *q.values())
-    floor = F.create_map(*[x for k, v in FLOORS.items() for x in (F.lit(k), F.lit(v))])[F.col("measure")]
-    cut = quart.withColumn("cut", F.col("q2") + F.greatest(SPREAD * (F.col("q3") - F.col("q1")), floor))
-    return cut.groupBy(*keys).agg(F.max("docs").alias("docs"), *[F.max(F.when(F.col("measure") == k, F.col("cut"))).alias(f"cut_{k}") for k in FLOORS])
+    of = lambda k, q: F.max(F.when(F.col("measure") == k, F.col(q)))
+    cut = lambda k: of(k, "q2") + SPREAD[k] * F.greatest(of(k, "q2") - of(k, "q1"), of(f"{k}_unit", "q3"))
+    return quart.groupBy(*keys).agg(F.max("docs").alias("docs"), *[cut(k).alias(f"cut_{k}") for k in SPREAD])
 
 
 def cutoffs(df: DataFrame) -> DataFrame:
@@ -129,7 +137,7 @@ def cutoffs(df: DataFrame) -> DataFrame:
     rename = lambda d, p: d.select(*[F.col(c).alias(c if c == "lang" else f"{p}{c}") for c in d.columns])
     j = fine.join(rename(lang, "l_"), "lang").crossJoin(rename(whole, "w_"))
     pick = lambda c: F.when(F.col("docs") >= MIN_DOCS, F.col(c)).when(F.col("l_docs") >= MIN_DOCS, F.col(f"l_{c}")).otherwise(F.col(f"w_{c}"))
-    return j.select(F.col("lang").alias("__q_lang"), F.col("source").alias("__q_source"), *[pick(f"cut_{k}").alias(f"cut_{k}") for k in FLOORS])
+    return j.select(F.col("lang").alias("__q_lang"), F.col("source").alias("__q_source"), *[pick(f"cut_{k}").alias(f"cut_{k}") for k in SPREAD])
 
 
 def judged(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -137,9 +145,9 @@ def judged(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     cut = small(cutoffs(df), "quality-cutoffs")
     found = measured(df, df.columns if keep is None else keep)
     ok = F.lit(True)
-    for k in FLOORS:
+    for k in SPREAD:
         ok &= F.col(f"__q_{k}") <= F.col(f"cut_{k}")
-    return found.join(cut.select("__q_lang", "__q_source", *[F.col(f"cut_{k}") for k in FLOORS]), ["__q_lang", "__q_source"]).where(ok)
+    return found.join(cut.select("__q_lang", "__q_source", *[F.col(f"cut_{k}") for k in SPREAD]), ["__q_lang", "__q_source"]).where(ok)
 
 
 def filtered(df: DataFrame) -> DataFrame:
@@ -152,7 +160,7 @@ def filtered(df: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that passes, with its measures and the cutoffs it was held against."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    return judged(docs, ["doc_id", "lang", "source"]).select("doc_id", "lang", "source", *[F.col(f"__q_{k}").alias(k) for k in FLOORS], *[f"cut_{k}" for k in FLOORS])
+    return judged(docs, ["doc_id", "lang", "source"]).select("doc_id", "lang", "source", *[F.col(f"__q_{k}").alias(k) for k in SPREAD], *[f"cut_{k}" for k in SPREAD])
 
 
 def oracle_ctes(table: str = "documents") -> str:
@@ -160,11 +168,12 @@ def oracle_ctes(table: str = "documents") -> str:
     left = lambda keep: f"length(regexp_replace(text, '{keep}', '', 'g'))"
     part = lambda a, b: f"floor(({a}) * 10000 / ({b}))::INT"
     buck = lambda v: f"(floor({v} / pow(2.0, greatest(length(bin({v})) - 6, 0)))::INT * pow(2.0, greatest(length(bin({v})) - 6, 0))::INT)"
+    of = lambda k, q: f"max({q}) FILTER (measure = '{k}')"
     cut = lambda name, keys: f"""
 {name}_c AS (SELECT {keys} measure, bucket, sum(n) AS n FROM q_sketch GROUP BY ALL),
 {name}_r AS (SELECT *, sum(n) OVER (PARTITION BY {keys} measure) AS total, sum(n) OVER (PARTITION BY {keys} measure ORDER BY bucket) AS below FROM {name}_c),
 {name}_q AS (SELECT {keys} measure, max(total) AS docs, min(bucket) FILTER (below * 4 >= total) AS q1, min(bucket) FILTER (below * 4 >= total * 2) AS q2, min(bucket) FILTER (below * 4 >= total * 3) AS q3 FROM {name}_r GROUP BY ALL),
-{name} AS (SELECT {keys} max(docs) AS docs, {', '.join(f"max(q2 + greatest({SPREAD} * (q3 - q1), {v})) FILTER (measure = '{k}') AS cut_{k}" for k, v in FLOORS.items())} FROM {name}_q {'GROUP BY ' + keys.rstrip(', ') if keys else ''})"""
+{name} AS (SELECT {keys} max(docs) AS docs, {', '.join(f"{of(k, 'q2')} + {n} * greatest({of(k, 'q2')} - {of(k, 'q1')}, {of(f'{k}_unit', 'q3')}) AS cut_{k}" for k, n in SPREAD.items())} FROM {name}_q {'GROUP BY ' + keys.rstrip(', ') if keys else ''})"""
     pick = lambda k: f"CASE WHEN f.docs >= {MIN_DOCS} THEN f.cut_{k} WHEN l.docs >= {MIN_DOCS} THEN l.cut_{k} ELSE w.cut_{k} END::INT AS cut_{k}"
     return f"""
 q_words AS (SELECT *, coalesce(lang, '') AS q_lang, coalesce(source, '') AS q_source,
@@ -174,14 +183,15 @@ q_m AS (SELECT * EXCLUDE (words, lines),
   {part(left('[\\p{L}\\p{N}\\s.,]+'), 'length(text) + 40')} AS symbol,
   {part(left('\\P{Lu}+'), left('\\P{L}+') + ' + 20')} AS upper,
   {part("len(list_filter(range(1, len(words)), lambda i: words[i] = words[i + 1]))", 'len(words) + 5')} AS repeat,
-  {part('len(lines) - len(list_distinct(lines))', 'len(lines) + 3')} AS dupline FROM q_words),
-q_sketch AS ({' UNION ALL '.join(f"SELECT q_lang, q_source, '{k}' AS measure, {buck(k)} AS bucket, count(*) AS n FROM q_m GROUP BY ALL" for k in FLOORS)}),
+  {part('len(lines) - len(list_distinct(lines))', 'len(lines) + 3')} AS dupline,
+  {part('1', 'length(text) + 40')} AS symbol_unit, {part('1', left('\\P{L}+') + ' + 20')} AS upper_unit, {part('1', 'len(words) + 5')} AS repeat_unit, {part('1', 'len(lines) + 3')} AS dupline_unit FROM q_words),
+q_sketch AS ({' UNION ALL '.join(f"SELECT q_lang, q_source, '{k}' AS measure, {buck(k)} AS bucket, count(*) AS n FROM q_m GROUP BY ALL" for k in SKETCHED)}),
 {cut('q_fine', 'q_lang, q_source, ')},
 {cut('q_byl', 'q_lang, ')},
 {cut('q_all', '')},
-q_cut AS (SELECT f.q_lang, f.q_source, {', '.join(pick(k) for k in FLOORS)} FROM q_fine f JOIN q_byl l USING (q_lang) CROSS JOIN q_all w),
-q_pass AS (SELECT q_m.*, {', '.join(f'cut_{k}' for k in FLOORS)} FROM q_m JOIN q_cut USING (q_lang, q_source) WHERE {' AND '.join(f'{k} <= cut_{k}' for k in FLOORS)})"""
+q_cut AS (SELECT f.q_lang, f.q_source, {', '.join(pick(k) for k in SPREAD)} FROM q_fine f JOIN q_byl l USING (q_lang) CROSS JOIN q_all w),
+q_pass AS (SELECT q_m.*, {', '.join(f'cut_{k}' for k in SPREAD)} FROM q_m JOIN q_cut USING (q_lang, q_source) WHERE {' AND '.join(f'{k} <= cut_{k}' for k in SPREAD)})"""
 
 
 def oracle() -> str:
-    return f"WITH {oracle_ctes()} SELECT doc_id, lang, source, {', '.join(FLOORS)}, {', '.join(f'cut_{k}' for k in FLOORS)} FROM q_pass"
+    return f"WITH {oracle_ctes()} SELECT doc_id, lang, source, {', '.join(SPREAD)}, {', '.join(f'cut_{k}' for k in SPREAD)} FROM q_pass"
