@@ -13,13 +13,20 @@ hold the kind, the length and counts of letter classes, one edit of which change
 at most, so most accidental pairs go without seeing a text. Pairs left over are verified with a
 banded bit-parallel edit distance. Nothing is capped.
 
-Shuffles: 16-byte key rows, line occurrences (hash, doc_id, line number), the texts of lines in
+Hot lines and keys: a map task indexes a line once as long as it remembers it (SEEN lines). Key rows are read
+in order, in memory for one group at a time; a group beyond BIG lines (lines of one template and length) is passed
+on in blocks, and each pair of blocks is a task of its own that verifies inside, with counts of 32 letter
+classes before any distance, and gives at most one earlier line for each line. Occurrences of a line meet its
+first one by partial aggregation and a join that splits skewed keys. Exact copies are told by 128 bits of hash.
+
+Shuffles: 16-byte key rows, line occurrences (hashes, doc_id, line number), the texts of lines in
 candidate pairs, and once the documents, to meet their removed lines.
 
-Defined cases: a null text stays null, a row without doc_id stays as it is; rows that repeat a
-doc_id are one document, whose lines do not duplicate each other across those rows at the same line
-number; an empty table gives an empty result; extra columns pass through, names starting with
-``__l_`` are reserved.
+Defined cases: a null text stays null, a row without doc_id stays as it is; doc_id may be of any type that has an
+order; rows that repeat a doc_id are one document, whose lines do not duplicate each other across those rows at
+the same line number; lines that tie for the first place go by doc_id and line number; texts are taken whole
+whatever their length; an empty table gives an empty result; extra columns pass through, whatever their names,
+but names starting with ``__l_`` are reserved.
 """
 
 from __future__ import annotations
@@ -31,12 +38,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Slices, chunks, grouped, lowered, mix, read, small, string_buffer, written
+from .common import Slices, chunks, lowered, mix, read, small, string_buffer, written
 
 EDITS = 2
 MIN_BYTES = 40
 #: Hashes of lines whose texts are wanted are broadcast up to this many.
 WANTED_ROWS = 1_000_000
+#: Lines of a key group that one task compares; a larger group is passed on in blocks of so many.
+BIG = 4096
+#: Lines a map task remembers as indexed.
+SEEN = 1_000_000
 
 #: Four classes of letters, counted two at a time in the halves of a word.
 _CLASSES = np.zeros((2, 256), np.uint64)
@@ -93,18 +104,26 @@ def keys(part: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
     return np.concatenate(rows), np.concatenate(words)
 
 
+def second(part: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Another 64 bits of hash of slices: of the slices of a keyed permutation of byte values and of neighbouring bytes."""
+    pair = part.astype(np.uint32) * np.uint32(0x9E3779B1)
+    pair[1:] ^= part[:-1].astype(np.uint32) << np.uint32(8)
+    first = mix(part[np.minimum(start, max(len(part) - 1, 0))].astype(np.uint64) + np.uint64(77))
+    return mix(Slices(pair)(np.minimum(start + 1, end), end) ^ first)
+
+
 def _lines(batches):
     for b in batches:
         off, data = string_buffer(b.column(1))
-        ids = b.column(0).to_numpy()
         for i, j in chunks(off):
             part = data[off[i] : off[j]]
             doc, number, start, end = line_spans(off[i : j + 1], part)
-            h = Slices(part)(start, end).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[i:j][doc]), pa.array(number.astype(np.int32))], names=["line", "doc_id", "number"])
+            h, g = Slices(part)(start, end).view(np.int64), second(part, start, end).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), b.column(0).take(pa.array(doc + i)), pa.array(number.astype(np.int32))], names=["line", "line2", "doc_id", "number"])
 
 
 def _keys(batches):
+    seen: set[int] = set()
     for b in batches:
         off, data = string_buffer(b.column(1))
         for i, j in chunks(off):
@@ -112,6 +131,11 @@ def _keys(batches):
             _, _, start, end = line_spans(off[i : j + 1], part)
             h = Slices(part)(start, end)
             h, one = np.unique(h, return_index=True)
+            if len(seen) > SEEN:
+                seen.clear()
+            new = np.array([x not in seen for x in h.tolist()], bool)
+            h, one = h[new], one[new]
+            seen.update(h.tolist())
             row, word = keys(part, start[one], end[one])
             yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(h[row].view(np.int64))], names=["word", "line"])
 
@@ -132,7 +156,8 @@ def _texts(wanted):
                     ok = w[at] == h if len(w) else np.zeros(len(h), bool)
                     h, one = h[ok], one[ok]
                 raw = part.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([raw[s:e] for s, e in zip(start[one].tolist(), end[one].tolist())], pa.binary())], names=["line", "bytes"])
+                g = second(part, start[one], end[one]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([raw[s:e] for s, e in zip(start[one].tolist(), end[one].tolist())], pa.binary()), pa.array(g)], names=["line", "bytes", "line2"])
 
     return run
 
@@ -148,12 +173,13 @@ def _possible(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return ok & (far <= 2 * EDITS)
 
 
-def _candidates(c: dict) -> list:
-    word, line = c["word"].view(np.uint64), c["line"]
+def _grouped_pairs(word: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Candidate pairs (2 x n) of whole groups, rows ordered by the word, then line."""
+    word = word.view(np.uint64)
     group = word >> np.uint64(20)
     start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     size = np.diff(start, append=len(group))
-    a, b = [], []
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
     def pair(i: np.ndarray, j: np.ndarray) -> None:
         ok = (line[i] != line[j]) & _possible(word[i], word[j])
@@ -166,14 +192,58 @@ def _candidates(c: dict) -> list:
             for y in range(x + 1, n):
                 pair(at + x, at + y)
     for s, n in zip(start[size > 16], size[size > 16]):
-        _, one = np.unique(np.stack([line[s : s + n], word[s : s + n].view(np.int64)]), axis=1, return_index=True)
-        at = s + np.sort(one)
-        for k in range(len(at) - 1):
-            pair(np.full(len(at) - k - 1, at[k]), at[k + 1 :])
-    if not a:
-        return [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-    got = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-    return [got[0], got[1]]
+        for k in range(n - 1):
+            pair(np.full(n - k - 1, s + k), np.arange(s + k + 1, s + n))
+    return np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+
+
+_FOUND = "a bigint, b bigint, heavy bigint, block int"
+
+
+def _candidates(batches, big: int = BIG):
+    """From rows (word, line) in order: candidate pairs (a, b) of groups of up to ``big`` lines; the rows (a: word, b: line) of
+    larger ones with the group and a block number. Holds one group of ``big`` rows at most besides a batch."""
+    none = np.zeros(0, np.int64)
+
+    def batch(a, b, heavy=None, block=None):
+        n = len(a)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(n, pa.int64()) if heavy is None else pa.array(np.full(n, heavy)), pa.nulls(n, pa.int32()) if block is None else pa.array(block.astype(np.int32))], names=["a", "b", "heavy", "block"])
+
+    # the open group: its rows, how many of its rows were passed on, the last of those
+    word, line, group, passed, last = none, none, None, 0, None
+    for b in batches:
+        w, x = np.concatenate([word, b.column(0).to_numpy()]), np.concatenate([line, b.column(1).to_numpy()])
+        if not b.num_rows:
+            continue
+        ok = np.ones(len(w), bool)
+        ok[1:] = (w[1:] != w[:-1]) | (x[1:] != x[:-1])
+        ok[0] = last != (w[0], x[0])
+        w, x = w[ok], x[ok]
+        g = w >> 20
+        if passed:
+            e = int(np.searchsorted(g, group, "right"))
+            if e:
+                yield batch(w[:e], x[:e], group, (passed + np.arange(e)) // big)
+                passed, last = passed + e, (w[e - 1], x[e - 1])
+            w, x, g = w[e:], x[e:], g[e:]
+        if not len(w):
+            word, line = none, none
+            continue
+        cut = int(np.searchsorted(g, g[-1], "left"))
+        if cut:
+            start = np.flatnonzero(np.concatenate([[True], g[1:cut] != g[: cut - 1]]))
+            size = np.diff(start, append=cut)
+            for s, n in zip(start[size > big], size[size > big]):
+                yield batch(w[s : s + n], x[s : s + n], g[s], np.arange(n) // big)
+            fit = np.repeat(size <= big, size)
+            yield batch(*_grouped_pairs(w[:cut][fit], x[:cut][fit]))
+        word, line, group, passed, last = w[cut:], x[cut:], g[-1], 0, None
+        if len(word) > big:
+            yield batch(word, line, group, np.arange(len(word)) // big)
+            passed, last = len(word), (word[-1], line[-1])
+            word, line = none, none
+    if len(word):
+        yield batch(*_grouped_pairs(word, line))
 
 
 def within(a: bytes, b: bytes, k: int = EDITS) -> bool:
@@ -213,38 +283,96 @@ def within(a: bytes, b: bytes, k: int = EDITS) -> bool:
 
 def _verified(batches):
     for t in batches:
-        ok = [within(x, y) for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist())]
-        yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
+        ok = [within(x, y) for x, y in zip(t.column(4).to_pylist(), t.column(5).to_pylist())]
+        yield pa.RecordBatch.from_arrays([t.column(k) for k in range(4)], names=["a", "a2", "b", "b2"]).filter(pa.array(ok, pa.bool_()))
+
+
+def earlier(texts: list[bytes], blocks: np.ndarray) -> list[tuple[int, int]]:
+    """(i, j): for each text j an earlier one i within EDITS edits, if there is one; only of different blocks, if there are two."""
+    n = len(texts)
+    size = np.array([len(x) for x in texts])
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    count = np.zeros((n, 32), np.uint8)
+    np.add.at(count, (np.repeat(np.arange(n), size), raw & 31), 1)
+    two = len(np.unique(blocks)) > 1
+    out = []
+    for j in range(1, n):
+        far = count[:j] - count[j]
+        far = np.minimum(far, np.uint8(0) - far).sum(axis=1, dtype=np.int32)
+        ok = (far <= 2 * EDITS) & (np.abs(size[:j] - size[j]) <= EDITS)
+        if two:
+            ok &= blocks[:j] != blocks[j]
+        for i in np.flatnonzero(ok).tolist():
+            if texts[i] != texts[j] and within(texts[i], texts[j]):
+                out.append((i, j))
+                break
+    return out
+
+
+def _settled(batches):
+    """Rows (task, block, line, line2, bytes) in order of the task and of first occurrences."""
+    held: list[pa.RecordBatch] = []
+
+    def done(t: pa.Table):
+        got = earlier(t.column(4).to_pylist(), t.column(1).to_numpy())
+        i, j = (pa.array([x[k] for x in got], pa.int64()) for k in (0, 1))
+        cols = [t.column(k).take(x).combine_chunks() for x, k in ((i, 2), (i, 3), (j, 2), (j, 3))]
+        return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) and c.num_chunks else c if isinstance(c, pa.Array) else pa.array([], pa.int64()) for c in cols], names=["a", "a2", "b", "b2"])
 
-def near_lines(texts: DataFrame) -> DataFrame:
-    """(a, b): hashes of different lines within EDITS edits."""
+    for b in batches:
+        task = b.column(0).to_numpy()
+        cuts = np.flatnonzero(task[1:] != task[:-1]) + 1
+        for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(task)]):
+            if held and held[0].column(0)[0].as_py() != task[s]:
+                yield done(pa.Table.from_batches(held))
+                held = []
+            if e > s:
+                held.append(b.slice(s, e - s))
+    if held:
+        yield done(pa.Table.from_batches(held))
+
+
+def near_lines(texts: DataFrame, firsts: DataFrame, big: int = BIG) -> DataFrame:
+    """(a, a2, b, b2): hashes of different lines within EDITS edits; of lines that have such an earlier one, one pair at least.
+    ``firsts``: (line, line2, first, n)."""
     rows = texts.mapInArrow(_keys, "word bigint, line bigint")
-    cand = written(grouped(rows, "word", "a bigint, b bigint", _candidates, bits=20).distinct(), "lines-candidates")
-    wanted = written(cand.select(F.explode(F.array("a", "b")).alias("line")).distinct(), "lines-wanted")
+    rows = rows.repartition(F.shiftright("word", 20)).sortWithinPartitions("word", "line")
+    found = written(rows.mapInArrow(lambda batches: _candidates(batches, big), _FOUND), "lines-found")
+    cand = written(found.where("heavy IS NULL").select("a", "b").distinct(), "lines-candidates")
+    heavy = found.where("heavy IS NOT NULL").select("heavy", "block", F.col("b").alias("line")).distinct()
+    wanted = written(cand.select(F.explode(F.array("a", "b")).alias("line")).unionByName(heavy.select("line")).distinct(), "lines-wanted")
     if wanted.count() <= WANTED_ROWS:
         near = texts.sparkSession.sparkContext.broadcast(np.sort(wanted.toPandas()["line"].to_numpy(np.int64)))
-        lines = texts.mapInArrow(_texts(near), "line bigint, bytes binary")
+        lines = texts.mapInArrow(_texts(near), "line bigint, bytes binary, line2 bigint")
     else:
-        lines = texts.mapInArrow(_texts(None), "line bigint, bytes binary").join(wanted, "line", "left_semi")
-    held = written(lines.groupBy("line").agg(F.min("bytes").alias("bytes")), "lines-texts")
-    left, right = (held.select(F.col("line").alias(k), F.col("bytes").alias(f"t{k}")) for k in "ab")
-    return cand.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verified, "a bigint, b bigint")
-
-
-def removed(docs: DataFrame) -> DataFrame:
+        lines = texts.mapInArrow(_texts(None), "line bigint, bytes binary, line2 bigint").join(wanted, "line", "left_semi")
+    held = written(lines.groupBy("line").agg(F.min(F.struct("bytes", "line2")).alias("x")).select("line", "x.bytes", "x.line2"), "lines-texts")
+    left, right = (held.select(F.col("line").alias(k), F.col("line2").alias(f"{k}2"), F.col("bytes").alias(f"t{k}")) for k in "ab")
+    out = cand.join(left, "a").join(right, "b").select("a", "a2", "b", "b2", "ta", "tb").mapInArrow(_verified, "a bigint, a2 bigint, b bigint, b2 bigint")
+    if heavy.isEmpty():
+        return out
+    parts = heavy.groupBy("heavy").agg((F.max("block") + 1).alias("k"))
+    known = written(held.join(firsts, ["line", "line2"]).select("line", "line2", "bytes", "first"), "lines-heavy")
+    tasks = heavy.join(parts, "heavy").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    tasks = tasks.select(F.xxhash64("heavy", F.least("block", "other"), F.greatest("block", "other")).alias("task"), "block", "line").join(known, "line")
+    inside = tasks.select("task", "block", "line", "line2", "bytes", "first").repartition("task").sortWithinPartitions("task", "first", "line").drop("first")
+    return out.unionByName(inside.mapInArrow(_settled, "a bigint, a2 bigint, b bigint, b2 bigint"))
+
+
+def removed(docs: DataFrame, big: int = BIG) -> DataFrame:
     """(doc_id, numbers, lines): the removed lines of every document that loses one."""
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", lowered(F.col("text")).alias("__l_text"))
-    near = written(near_lines(texts), "lines-near")
-    at = texts.mapInArrow(_lines, "line bigint, doc_id bigint, number int")
-    first = F.min(F.struct("doc_id", "number")).over(W.partitionBy("line"))
-    seen = written(at.withColumn("first", first), "lines-seen")
-    involved = near.select(F.explode(F.array("a", "b")).alias("line")).distinct()
-    firsts = written(seen.join(small(involved, "lines-involved", WANTED_ROWS), "line", "left_semi").select("line", "first").distinct(), "lines-firsts")
-    fa, fb = (firsts.select(F.col("line").alias(k), F.col("first").alias(f"f{k}")) for k in "ab")
-    later = near.join(fa, "a").join(fb, "b").select(F.when((F.col("fa") < F.col("fb")) | ((F.col("fa") == F.col("fb")) & (F.col("a") < F.col("b"))), F.col("b")).otherwise(F.col("a")).alias("line")).distinct()
+    at = written(texts.mapInArrow(_lines, f"line bigint, line2 bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, number int"), "lines-at")
+    firsts = written(at.groupBy("line", "line2").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.count("*").alias("n")), "lines-firsts")
+    near = written(near_lines(texts, firsts, big), "lines-near")
+    involved = small(near.select(F.explode(F.array(F.struct(F.col("a").alias("line"), F.col("a2").alias("line2")), F.struct(F.col("b").alias("line"), F.col("b2").alias("line2")))).alias("x")).select("x.*").distinct(), "lines-involved", WANTED_ROWS)
+    known = written(firsts.join(involved, ["line", "line2"], "left_semi").select("line", "line2", "first"), "lines-known")
+    fa, fb = (known.select(F.col("line").alias(k), F.col("line2").alias(f"{k}2"), F.col("first").alias(f"f{k}")) for k in "ab")
+    b_later = (F.col("fa") < F.col("fb")) | ((F.col("fa") == F.col("fb")) & (F.col("a") < F.col("b")))
+    later = near.join(fa, ["a", "a2"]).join(fb, ["b", "b2"]).select(F.when(b_later, F.struct(F.col("b").alias("line"), F.col("b2").alias("line2"))).otherwise(F.struct(F.col("a").alias("line"), F.col("a2").alias("line2"))).alias("x")).select("x.*").distinct()
     later = small(later.withColumn("near", F.lit(True)), "lines-later", WANTED_ROWS)
-    gone = seen.join(later, "line", "left").where(F.col("near") | (F.struct("doc_id", "number") != F.col("first")))
+    dead = written(firsts.join(later, ["line", "line2"], "left").where("n > 1 OR near").select("line", "line2", "first", "near"), "lines-dead")
+    gone = at.join(dead, ["line", "line2"]).where(F.col("near") | (F.struct("doc_id", "number") != F.col("first")))
     return gone.groupBy("doc_id").agg(F.collect_set(F.struct("number", "line")).alias("x")).select("doc_id", F.col("x.number").alias("__l_numbers"), F.col("x.line").alias("__l_lines"))
 
 

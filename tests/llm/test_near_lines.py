@@ -214,6 +214,69 @@ def test_lines_against_brute_force(spark):
     assert sum(r[2] for r in want) > 20
 
 
+def test_large_key_groups_are_split(spark):
+    """Groups of more lines than a task compares give the same result."""
+    rng = random.Random(3)
+    stamp = lambda: f"{rng.randrange(10)}{rng.randrange(10)}:{rng.randrange(10)}"
+    logs = [(100 + i, "\n".join(f"2024-05-01T{stamp()} INFO worker started with state {rng.choice(['ok', 'up', 'go'])} and no more" for _ in range(12)), "en", "web") for i in range(25)]
+    docs = frame(spark, [*line_corpus(), *logs])
+    want = {(r.doc_id, *sorted(r["__l_numbers"])) for r in lines.removed(docs).collect()}
+    for big in (3, 40):
+        assert {(r.doc_id, *sorted(r["__l_numbers"])) for r in lines.removed(docs, big).collect()} == want
+    names, sql = duck(spark, lines.ORACLE, documents=docs)
+    got = lines.deduped(docs.select("doc_id", "text")).withColumnRenamed("__l_removed", "n_removed")
+    assert names == got.columns and rows(got) == sql
+
+
+def test_candidates_stream_whole_groups():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    group = np.sort(rng.choice(60, 4000, p=np.r_[0.4, np.full(59, 0.6 / 59)]))
+    word = (group.astype(np.int64) << 20) | rng.integers(0, 4, 4000) << 18
+    line = rng.integers(0, 900, 4000)
+    order = np.lexsort((line, word))
+    word, line = word[order], line[order]
+    by = {}
+    for w, x in zip(word.tolist(), line.tolist()):
+        by.setdefault(w >> 20, {})[w, x] = None
+    for batch, big in ((37, 50), (4000, 50), (100, 10**6), (1, 20)):
+        got = [r for t in lines._candidates([pa.RecordBatch.from_arrays([pa.array(word[i : i + batch]), pa.array(line[i : i + batch])], names=["word", "line"]) for i in range(0, 4000, batch)], big) for r in t.to_pylist()]
+        heavy: dict = {}
+        for r in got:
+            if r["heavy"] is not None:
+                heavy.setdefault(r["heavy"], []).append((r["a"], r["b"], r["block"]))
+        assert set(heavy) == {g for g, x in by.items() if len(x) > big}
+        for g, x in heavy.items():
+            assert sorted((a, b) for a, b, _ in x) == sorted(by[g])
+            assert max(Counter(k for *_, k in x).values()) <= big
+        pairs = {(r["a"], r["b"]) for r in got if r["heavy"] is None}
+        want = set()
+        for g, x in by.items():
+            if len(x) <= big:
+                xs = list(x)
+                want |= {(min(p[1], q[1]), max(p[1], q[1])) for k, p in enumerate(xs) for q in xs[k + 1 :] if p[1] != q[1] and lines._possible(np.array([p[0]], np.int64).view(np.uint64), np.array([q[0]], np.int64).view(np.uint64))[0]}
+        assert pairs == want
+
+
+def test_second_hash_tells_slices():
+    raw = np.frombuffer(b"abcabcabdcbaab", np.uint8)
+    spans = [(i, j) for i in range(14) for j in range(i, 15)]
+    h = lines.second(raw, np.array([i for i, _ in spans]), np.array([j for _, j in spans]))
+    by: dict = {}
+    for (i, j), v in zip(spans, h.tolist()):
+        if j > i:
+            by.setdefault(v, set()).add(raw[i:j].tobytes())
+    assert all(len(v) == 1 for v in by.values()) and len(by) == len({raw[i:j].tobytes() for i, j in spans if j > i})
+
+
+def test_lines_text_ids(spark):
+    docs = frame(spark, line_corpus())
+    named = docs.selectExpr("concat('https://x/', lpad(doc_id, 6, '0')) AS doc_id", "text", "lang", "source", "n_chars")
+    want = {(f"https://x/{i:06d}", t, n) for i, t, n in lines.deduped(docs.select("doc_id", "text")).collect()}
+    assert {tuple(r) for r in lines.deduped(named.select("doc_id", "text")).collect()} == want
+
+
 def test_lines_of_shared_passages(spark):
     """Thousands of copies of one line: no pair is built for exact copies."""
     line = "this very same sentence stands in every one of the documents of this table"
