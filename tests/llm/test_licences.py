@@ -63,6 +63,20 @@ TEXTS = {
 }
 
 
+TEXTS |= {
+    9: ("SPDX-License-Identifier: MIT in this file", "MIT", "MIT", "permissive", 1),
+    10: ("licensed under gpl-3.0", "GPL-3.0-only", "GPL-3.0-only", "copyleft", 1),
+    11: ("Apache-2.0, or else LGPL version 2.1", "Apache-2.0;LGPL-2.1-only", "Apache-2.0 AND LGPL-2.1-only", "weak-copyleft", 2),
+    12: ("this is BSD licensed", "LicenseRef-BSD", "LicenseRef-BSD", "permissive", 1),
+    13: ("Python 2.0 and PHP 3.0 on Apache; see the Ruby license", "Ruby", "Ruby", "permissive", 1),
+    14: ("# SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR MIT, see MPL-2.0\n", "GPL-2.0-only;MIT;MPL-2.0", "MPL-2.0 AND (GPL-2.0-only WITH Linux-syscall-note OR MIT)", "weak-copyleft", 2),
+    15: ("SPDX-License-Identifier: (MIT", "", None, "unknown", 1),
+    16: ("SPDX-License-Identifier:\nMIT license", "MIT", "MIT", "unknown", 2),
+    17: ("GPL-2.0-or-later and GFDL-1.3-only", "GFDL-1.3-only;GPL-2.0-or-later", "GPL-2.0-or-later AND GFDL-1.3-only", "copyleft", 2),
+    18: ("word " * 200_000 + "SPDX-License-Identifier: ISC\n" + "word " * 200_000 + "MIT License", "ISC;MIT", "MIT AND ISC", "permissive", 2),
+}
+
+
 def test_scan(spark, odd, empty):
     got = {r.doc_id: tuple(r)[1:] for r in licences.scanned(frame(spark, [(i, t[0], "en", "web") for i, t in TEXTS.items()])).collect()}
     assert got == {i: t[1:] for i, t in TEXTS.items()}
@@ -70,6 +84,32 @@ def test_scan(spark, odd, empty):
     assert licences.scanned(odd).count() == odd.count() and rows(licences.scanned(empty)) == []
 
 
+def test_scan_against_naive_search():
+    """Random texts of words of phrases: the leftmost longest hits of a search of every phrase at every word."""
+    import random
+
+    rng = random.Random(8)
+    all_ = {p: licences.BSD_TEXTS.get(p, i) for i, ps in licences.PHRASES.items() for p in ps}
+    some = rng.sample(sorted(all_), 400)
+    vocabulary = sorted({w for p in some for w in p.split()})
+    for _ in range(60):
+        words = [w for _ in range(30) for w in (rng.choice(some).split() if rng.random() < 0.6 else [rng.choice(vocabulary)])]
+        raw = np.frombuffer((", ".join(words) + "\n").encode(), np.uint8)
+        got = licences.phrases(np.array([0, len(raw)]), raw).get(0, [])
+        want, at = [], 0
+        while at < len(words):
+            fit = [n for n in range(1, 40) if at + n <= len(words) and " ".join(words[at : at + n]) in all_]
+            if fit:
+                want.append(all_[" ".join(words[at : at + max(fit)])])
+            at += max(fit, default=1)
+        assert got == want
+
+
+@pytest.mark.parametrize(("text", "want"), [("MIT in this", "MIT"), ("MIT OR ISC) x", "MIT OR ISC"), ("(MIT", "(MIT"), ("MIT AND", "MIT AND"), (", MIT", ""), ("MIT, ISC", "MIT"), ("mit*", "mit")])
+def test_leading(text, want):
+    assert licences.leading(text)[0] == want
+
+
 def test_phrases_against_brute_force():
     """Every phrase is found in a text that holds it alone; and at its place in a long one."""
     phrases = [(i, p) for i, ps in licences.PHRASES.items() for p in ps]
