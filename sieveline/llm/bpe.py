@@ -10,8 +10,9 @@ Works on Arrow batches with no shuffle. A worker encodes a distinct pre-token on
 in a table that is emptied when it holds CACHE entries.
 
 Defined cases: a null text has null ids and no count; an empty one has no ids; texts are taken
-whole whatever their length; special tokens in a text are ordinary text; rows that repeat and extra
-columns pass through; an empty table gives an empty result. Ids decode to the exact bytes of the text.
+whole whatever their length; special tokens in a text are ordinary text; pairs that tie do not exist, since ranks
+are distinct; rows that repeat and extra columns pass through, but columns named n_tokens, token_ids and
+round_trip are replaced; an empty table gives an empty result. Ids decode to the exact bytes of the text.
 """
 
 from __future__ import annotations

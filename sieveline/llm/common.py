@@ -129,11 +129,46 @@ class Slices:
 _SPREAD = mix(np.arange(1, 257, dtype=np.uint64))
 
 
+#: First bytes of punctuation outside ASCII, and of scripts written without spaces.
+_MAYBE = np.zeros(256, bool)
+_MAYBE[[0xC2, 0xE2, 0xE3, 0xEF]] = True
+_DENSE = np.zeros(256, bool)
+_DENSE[[0xE0, *range(0xE3, 0xEA)]] = True
+_WIDE = np.zeros((2, 256), bool)
+_WIDE[0, [*range(0x81, 0x90), *range(0x9A, 0xA1), *range(0xBB, 0xC0)]] = True
+_WIDE[1, [0x80, *range(0x9B, 0xA6)]] = True
+
+
+def word_mask(data: np.ndarray) -> np.ndarray:
+    """Bytes of letters and digits: those of ASCII, and those of other characters but Latin-1 signs, general and CJK
+    punctuation, and wide forms of ASCII punctuation."""
+    ok = _WORD[data]
+    at = np.flatnonzero(_MAYBE[data])
+    if len(at):
+        last = len(data) - 1
+        one, two, three = data[at], data[np.minimum(at + 1, last)], data[np.minimum(at + 2, last)]
+        sign = (one == 0xC2) & ~np.isin(two, (0xAA, 0xB5, 0xBA)) | (one == 0xE2) & (two <= 0x81) | (one == 0xE3) & (two == 0x80)
+        sign |= (one == 0xEF) & ((two == 0xBC) & _WIDE[0, three] | (two == 0xBD) & _WIDE[1, three])
+        at, size = at[sign], np.where(one[sign] == 0xC2, 2, 3)
+        for k in range(3):
+            ok[at[size > k] + k] = False
+    return ok
+
+
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of runs of letters and digits; every byte of a non-ASCII character
-    counts as a letter."""
-    edge = np.diff(_WORD[data].view(np.int8), prepend=np.int8(0), append=np.int8(0))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    """Starts and ends of words: runs of letters and digits; in scripts without spaces (Han, kana, Hangul syllables, Thai,
+    Lao) every character is a word."""
+    ok = word_mask(data)
+    edge = np.diff(ok.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    at = np.flatnonzero(_DENSE[data])
+    if len(at):
+        two = data[np.minimum(at + 1, len(data) - 1)]
+        at = at[ok[at] & ((data[at] != 0xE0) | (two >= 0xB8) & (two <= 0xBB))]
+        cut = np.union1d(at, at + 3)
+        start = np.union1d(start, cut[(cut < len(data)) & ok[np.minimum(cut, len(data) - 1)]])
+        end = np.union1d(end, cut[(cut > 0) & ok[cut - 1]])
+    return start, end
 
 
 #: Flags of every code point, built once in a worker.

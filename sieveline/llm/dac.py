@@ -13,7 +13,9 @@ One pass with no shuffle. Ids are byte-level BPE ranks, here by the reference en
 which gives the same ids as ``bpe`` at under half the CPU where nothing is decoded again.
 
 Defined cases: a null text gives null codes and no count, an empty one codes of no ids; ids up to
-2**32 - 1; rows that repeat are each written; an empty table gives an empty result.
+2**32 - 1; texts are taken whole whatever their length; ids that repeat or tie have codes of their own; rows that
+repeat are each written; columns other than doc_id and text are not read, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations

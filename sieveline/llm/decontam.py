@@ -12,8 +12,9 @@ size is summed first); a larger benchmark takes one pass for each part, with the
 Defined cases: null or wordless texts hold nothing, null or wordless items are never found; items
 too short for an edit (less than 100 / ERRORS bytes) match exactly as whole words; items that repeat
 are each reported; rows that repeat a doc_id give one row for each item; rows without doc_id are
-judged like all others; empty tables give an empty result (or leave documents as they are); extra
-columns pass through.
+judged like all others; doc_id and item_id may be of any type; passages that tie for the least distance are one row;
+texts are searched whole whatever their length; empty tables give an empty result (or leave documents as they are);
+extra columns pass through, whatever their names, but names starting with ``__d_`` are reserved.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _WORD, chunks, lowered, read, string_buffer
+from .common import chunks, lowered, read, string_buffer, word_mask
 
 ERRORS = 8
 PART_BYTES = 32 << 20
@@ -35,7 +36,7 @@ def squeeze(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, str]:
     """(offsets, text) of consecutive lowered texts; each is " words of the text " between spaces, one
     character for each byte."""
     part = data[off[0] : off[-1]]
-    word = _WORD[part]
+    word = word_mask(part)
     ends = off[1:] - off[0] - 1
     keep = word.copy()
     keep[1:] |= ~word[1:] & word[:-1]
@@ -166,13 +167,13 @@ def _finder(name: str, items) -> Finder:
 def parts(benchmark: DataFrame, limit: int = PART_BYTES) -> list:
     """(name, broadcast items) of parts whose text is about ``limit`` bytes at most."""
     spark = benchmark.sparkSession
-    some = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
+    some = benchmark.where("text IS NOT NULL").select("item_id", "text")
     total = some.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // limit))
     out = []
     for i in range(n):
         rows = some.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect() if n > 1 else some.collect()
-        items = sorted([(r[0], clean(r[1])) for r in rows], key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        items = sorted([(r[0], clean(r[1])) for r in rows], key=lambda x: (x[0] is None, x[1] if x[0] is None else x[0], x[1]))
         items = [x for x in items if x[1]]
         b = spark.sparkContext.broadcast(items)
         out.append((uuid.uuid4().hex, b))
@@ -181,8 +182,12 @@ def parts(benchmark: DataFrame, limit: int = PART_BYTES) -> list:
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, distance, budget): every item found in every document."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), lowered(F.col("text")).alias("low"))
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    texts = docs.select("doc_id", lowered(F.col("text")).alias("low"))
     names = ["doc_id", "item_id", "distance", "budget"]
+    kinds = [docs.schema["doc_id"].dataType, benchmark.schema["item_id"].dataType]
+    kind = to_arrow_type(kinds[1])
     out = None
     for name, items in parts(benchmark):
 
@@ -195,9 +200,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     for (d, n), far in find(off[i : j + 1], data).items():
                         rows.append((i + d, find.items[n][0], far, budget(find.items[n][1])))
                 at, item, far, most = (list(x) for x in zip(*rows)) if rows else ([], [], [], [])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(item, pa.int64()), pa.array(far, pa.int32()), pa.array(most, pa.int32())], names=names)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(item, kind), pa.array(far, pa.int32()), pa.array(most, pa.int32())], names=names)
 
-        one = texts.mapInArrow(run, "doc_id bigint, item_id bigint, distance int, budget int")
+        one = texts.mapInArrow(run, f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, distance int, budget int")
         out = one if out is None else out.unionByName(one)
     return out.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"), F.max("budget").alias("budget"))
 

@@ -17,8 +17,9 @@ Words of many labels are handled in smaller chunks. One pass, no shuffle.
 
 Defined cases: null, empty and wordless texts have no words, no language and no spans; a null or
 empty lang is no label and never trained on; with fewer than two labels every word gets the only one
-(or none); rows that repeat are each labelled; an empty table gives an empty result; extra columns
-are not read.
+(or none); labels that tie go to the first in order; texts are labelled whole whatever their length; rows that
+repeat are each labelled, and count once in the sample; an empty table gives an empty result; extra columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -155,8 +156,9 @@ def chain(score: np.ndarray, first: np.ndarray, follow: np.ndarray, begin: np.nd
 def sample(docs: DataFrame) -> list[tuple[str, str]]:
     """(lang, text) of the bounded training sample."""
     some = docs.where("lang <> '' AND text IS NOT NULL AND doc_id IS NOT NULL").select("lang", "doc_id")
+    # repeated rows have one rank; the ranks are cut in each input partition before the shuffle
     w = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = some.distinct().withColumn("r", F.row_number().over(w)).where(F.col("r") <= TRAIN_DOCS).select("doc_id")
+    ids = some.withColumn("r", F.dense_rank().over(w)).where(F.col("r") <= TRAIN_DOCS).select("doc_id").distinct()
     rows = docs.where("lang <> '' AND text IS NOT NULL").join(small(ids, "langid-sample"), "doc_id", "left_semi").select("lang", "doc_id", "text").collect()
     return [(r[0], r[2]) for r in sorted(rows, key=lambda r: (r[0], r[1], r[2]))]
 

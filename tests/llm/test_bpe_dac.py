@@ -71,3 +71,13 @@ def test_other_vocabulary(spark):
     docs = frame(spark, [(1, prose(random.Random(1), "de", 100), "de", "web")])
     got = bpe.encoded(docs, "/opt/tokenizers/byte_bpe_multi_50k.tiktoken").first()
     assert got.round_trip and got.n_tokens == len(got.token_ids) > 0
+
+
+def test_words_of_scripts_without_spaces():
+    from sieveline.llm.common import word_spans
+
+    for text, want in (("中文，你好 abc", ["中", "文", "你", "好", "abc"]), ("a中b1", ["a", "中", "b1"]), ("ภาษา ไทย", list("ภาษาไทย")), ("naïve «café»—ok… ½", ["naïve", "café", "ok"]), ("カナabc。", ["カ", "ナ", "abc"]), ("привет, мир", ["привет", "мир"]), ("", [])):
+        raw = text.encode() + b"\n"
+        data = np.frombuffer(raw, np.uint8)
+        start, end = word_spans(data)
+        assert [raw[i:j].decode() for i, j in zip(start, end)] == want

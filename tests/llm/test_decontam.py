@@ -91,3 +91,12 @@ def test_very_long_item_and_text(spark):
     bench = spark.createDataFrame([(5, item)], "item_id long, text string")
     got = decontam.leaks(frame(spark, [(1, text, "de", "web"), (2, prose(rng, "de", 500), "de", "web")]), bench).collect()
     assert [(r.doc_id, r.item_id) for r in got] == [(1, 5)] and 0 < got[0].distance <= 30
+
+
+def test_text_ids_and_other_punctuation(spark):
+    item = "the quick brown river stone market jumps over lazy yellow windows every single morning"
+    docs = frame(spark, [(1, f"x {item.replace('river stone', 'river\u2014stone').replace('lazy ', '\u00ablazy\u00bb\u3000')} y", "en", "web"), (2, "nothing at all", "en", "web")]).selectExpr("concat('u', doc_id) AS doc_id", "text")
+    bench = spark.createDataFrame([("q1", item), (None, item)], "item_id string, text string")
+    got = {(r.doc_id, r.item_id, r.distance) for r in decontam.leaks(docs, bench).collect()}
+    assert got == {("u1", "q1", 0), ("u1", None, 0)}
+    assert [r.doc_id for r in decontam.filtered(docs, bench).collect()] == ["u2"]
