@@ -5,7 +5,12 @@ quality rules -> line dedup -> MinHash near-dedup -> benchmark decontamination -
 
 A stage is ``f(spark, docs, sf_dir) -> DataFrame``. Its result is written as Parquet into the shared
 folder and read again as the next stage's documents, so a lost executor costs tasks of one stage
-only. All but the last stage return the columns of ``documents``.
+only; the tables it no longer needs can be deleted with the folder of the job. All but the last stage return
+the columns of ``documents``.
+
+Defined cases are those of the operators: rows without text go in the first stage; rows without doc_id lose no
+line and are no one's copy, but may hold an item; of rows repeating a doc_id one stays; an empty table gives an
+empty result; very long texts are taken whole; extra columns of documents pass through all stages.
 """
 
 from __future__ import annotations
