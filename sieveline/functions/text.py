@@ -5,6 +5,8 @@ Letters and digits are those of ASCII here; other characters count as special on
 
 from __future__ import annotations
 
+import re
+
 from ..patterns import key_names, placeholders
 from .dialect import Dialect
 
@@ -212,6 +214,17 @@ def opaque_confidence(q: Dialect, v: str, floor: float = 0.7, classes_: int = 3,
     return f"(CASE WHEN {gate} THEN least(CAST({most} AS DOUBLE), {add}) ELSE CAST(0 AS DOUBLE) END)"
 
 
+#: A line (without blanks around it) of a stack trace or error message, where names are no keys of assignments: frames of
+#: several languages, cells, raised and named errors, panics.
+_TRACE = r"(?:(?:in|at) [0-9A-Za-z_][0-9A-Za-z_.]*[(]|at\s+[0-9A-Za-z_.$]+[(]|(?:[Rr]aise)\s+[0-9A-Za-z_]|[0-9A-Za-z_]*(?:Error|Exception):|panic:|goroutine [0-9]|Cell In\\[|Traceback [(]most recent|File \x22.+\x22, line [0-9])"
+TRACE_LINE = re.compile(_TRACE)
+
+
+def trace_line(q: Dialect, line: str) -> str:
+    """Whether a line belongs to a stack trace or error message."""
+    return q.like(f"trim({line})", f"^{_TRACE}")
+
+
 def context_adjustment(q: Dialect, v: str, boost: list[str], suppress: list[str]) -> str:
     """What words beside a match add to its confidence: 0.3 for a word that supports it, else -0.3 for one against."""
     words = q.split(f"lower({v})", r"\s+")

@@ -11,6 +11,7 @@ A null text has null findings; an empty one has none.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from functools import cache
 
 import pyarrow as pa
@@ -25,10 +26,11 @@ from ..patterns import content_patterns, screen, stopwords
 CANDIDATE = "array<struct<kind:string,name:string,key:string,value:string,start:int,end:int>>"
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("name", pa.string()), ("key", pa.string()), ("value", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
-_KEY = r"(?P<key>[A-Za-z_]\w*)"
-_ENV = re.compile(rf"(?ams)^\s*(?:export\s+)?{_KEY}\s*=\s*(?:(?P<q>[\x22\x27])(?P<inner>(?:(?!(?P=q)).)*)(?P=q)|(?P<bare>[^\s,{{}}\[\]()]+))\s*$")
-_CODE = re.compile(rf"(?as){_KEY}\s*(?::=|[:=])\s*(?P<q>[\x22\x27])(?P<inner>(?:(?!(?P=q)).){{1,500}})(?P=q)")
-_PEM = re.compile(r"(?as)-----BEGIN\s+(?P<what>[\w\s]+?)-----.*?-----END\s+(?P=what)-----")
+#: Each expression starts at one place of a run, and no part gives back what it took: time is linear in the text.
+_KEY = r"(?<![A-Za-z0-9_])(?P<key>[A-Za-z_]\w*+)"
+_ENV = re.compile(r"(?ams)^[^\S\n]*+(?:export\s++)?(?P<key>[A-Za-z_]\w*+)\s*+=\s*+(?:(?P<q>[\x22\x27])(?P<inner>(?:(?!(?P=q)).){0,500}+)(?P=q)|(?P<bare>[^\s,{}\[\]()]++))[^\S\n]*+$")
+_CODE = re.compile(rf"(?as){_KEY}\s*+(?::=|[:=])\s*+(?P<q>[\x22\x27])(?P<inner>(?:(?!(?P=q)).){{1,500}}+)(?P=q)")
+_PEM = re.compile(r"(?a)-----(?P<side>BEGIN|END)\s++(?P<what>\w(?:\w|\s)*+)-----")
 _TOKEN = re.compile(r"\S{16,}")
 _EDGE_LEFT, _EDGE_RIGHT = "\"'`", "\"'`,.;:!?)]}"
 
@@ -61,17 +63,49 @@ def _scanner():
     return compiled, auto, always
 
 
+def key_blocks(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, label) of blocks between a BEGIN and the next END of the same label."""
+    out: list[tuple[int, int, str]] = []
+    marks = [(m["side"], m["what"], m.start(), m.end()) for m in _PEM.finditer(text)]
+    ends: dict[str, list[tuple[int, int]]] = {}
+    for side, what, start, end in marks:
+        if side == "END":
+            ends.setdefault(what, []).append((start, end))
+    last = 0
+    for side, what, start, end in marks:
+        if side == "BEGIN" and start >= last and what in ends:
+            at = bisect_left(ends[what], (end, 0))
+            if at < len(ends[what]):
+                last = ends[what][at][1]
+                out.append((start, last, what.strip().upper()))
+    return out
+
+
+def _trace_lines(text: str, places: list[int]) -> list[bool]:
+    """Whether the lines of ascending places belong to a stack trace or error message."""
+    out, end, hit = [], -1, False
+    for at in places:
+        if at > end:
+            start, end = text.rfind("\n", 0, at) + 1, text.find("\n", at)
+            end = len(text) if end < 0 else end
+            hit = T.TRACE_LINE.match(text[start:end].strip()) is not None
+        out.append(hit)
+    return out
+
+
 def candidates(text: str) -> list[tuple]:
     """(kind, name, key, value, start, end) of everything that may be a secret."""
     out: list[tuple] = []
     blocks = []
     low = text.lower()
     if "-----begin" in low:
-        for m in _PEM.finditer(text):
-            blocks.append(m.span())
-            what = m["what"].strip().upper()
+        for start, end, what in key_blocks(text):
+            blocks.append((start, end))
             if "PRIVATE" in what:
-                out.append(("pem", what, None, text[m.start() : min(m.start() + 40, m.end())], m.start(), m.end()))
+                # the label stands for the value: nothing of the key is shown
+                out.append(("pem", what, None, f"-----BEGIN {what}-----", start, end))
+    starts = [a for a, _ in blocks]
+    inside = lambda at: bool(blocks) and (k := bisect_right(starts, at) - 1) >= 0 and at < blocks[k][1]
     compiled, auto, always = _scanner()
     tokens = list(_TOKEN.finditer(text))
     ids = {k for _, ks in auto.iter(low) for k in ks}
@@ -80,15 +114,15 @@ def candidates(text: str) -> list[tuple]:
     for k in sorted(ids):
         name, p = compiled[k]
         # a pattern inside a key block, as its first line, is part of the block, which goes as a whole
-        out += [("regex", name, None, m[0], m.start(), m.end()) for m in p.finditer(text) if not any(a <= m.start() < b for a, b in blocks)]
+        out += [("regex", name, None, m[0], m.start(), m.end()) for m in p.finditer(text) if not inside(m.start())]
     if "=" in text or ":" in text:
         for p in (_ENV, _CODE) if "=" in text else (_CODE,):
-            for m in p.finditer(text):
-                g = "inner" if m["q"] else "bare"
-                if 8 <= m.end(g) - m.start(g) <= 500:
-                    out.append(("kv", None, m["key"], m[g], m.start(g), m.end(g)))
+            pairs = [(m["key"], *m.span("inner" if p is _CODE or m["q"] else "bare")) for m in p.finditer(text)]
+            for (key, s, e), trace in zip(pairs, _trace_lines(text, [x[1] for x in pairs])):
+                if 8 <= e - s <= 500 and not trace:
+                    out.append(("kv", None, key, text[s:e], s, e))
     for m in tokens:
-        if not any(a <= m.start() < b for a, b in blocks):
+        if not inside(m.start()):
             bare = m[0].lstrip(_EDGE_LEFT).rstrip(_EDGE_RIGHT)
             if 16 <= len(bare) <= 512:
                 out.append(("opaque", None, None, bare, m.start(), m.end()))

@@ -56,7 +56,8 @@ _C_MARKS = {k: [re.compile(p) for p in v] for k, v in _C_MARKS.items()}
 _INTRO = re.compile(r"(?:as follows|code|command|example|here is|output|result|run this|script|see below|shown below|snippet).*:?\s*$")
 _COMMENT = re.compile(r"^\s*(?:#(?!define|endif|ifn?def|include|pragma)|//|--|/[*]|[*](?!/)|%|REM\s)")
 _ASSIGN = re.compile(r"^\s*[A-Za-z_]\w*\s*[:=]")
-_CALL = re.compile(r"\b[A-Za-z_]\w*\(")
+_CALL = re.compile(r"\b[A-Za-z_]\w*+\(")
+_DOTTED = re.compile(r"(?<!\w)\d*+[A-Za-z_]\w*+[.][A-Za-z_]")
 _TOKENS = re.compile(r"(?P<s>\x22[^\x22]*\x22|'[^']*')|(?P<n>\b\d[\d.]*)|(?P<i>[A-Za-z_]\w*)|(?P<o>[-+*/%<>=!&|^]+)|(?P<d>[.])")
 _ERROR = re.compile(
     "|".join(
@@ -69,7 +70,7 @@ _PROSE = re.compile(r"^[A-Z][a-z].+[.!?]$")
 _DIALOG = re.compile(r"^\s*[A-Z][a-z]{1,20}:\s*[\x22A-Z]|^\s*\([A-Z][a-z]{1,20}\)\s|^\s*\[[A-Z][a-z]{1,20}\]\s")
 _RATIO = re.compile(r"^\s*\d+:\d+\s")
 _LIST = re.compile(r"^\s*(?:\d+[.):]\s+|[-•*]\s+|[a-z][.)]\s+)")
-_CONSTRUCTS = [re.compile(p, re.M) for p in (r"^\s*(?:def|fn|func|function|sub)\s+\w+\s*\(", r"^\s*\w+(?:[.]\w+)*\s*(?::?\s*\w+\s*)?=(?!=)\s*\S", r"^\s*(?:#include|from|import|package|require|using)\s+[\"'./<{\w]", r"^\s*(?:class|enum|interface|struct|trait)\s+\w+\s*[({:<]", r"^\s*(?:elif|else\s*if|for|if|match|switch|while)\s*[({]", r"\b[A-Za-z_]\w*[.][A-Za-z_]\w*\s*\(", r"^\s*@[A-Za-z_]", r"^\s*#(?:define|endif|ifn?def|import|pragma)\s", r"^\s*(?:raise|return|throw|yield)\s+\S", r"\S.*;\s*$", r"(?<!\\)\b[A-Za-z_]\w*\(", r"(?i)^\s*(?:alter\s+table|create\s+table|delete\s+from|drop\s+table|insert\s+into|select\s+.+\s+from\s|update\s+\w+\s+set)", r"^\s*[A-Za-z_][.\w]*\s*<-\s*\S")]
+_CONSTRUCTS = [re.compile(p, re.M) for p in (r"^[^\S\n]*+(?:def|fn|func|function|sub)\s+\w+\s*\(", r"^[^\S\n]*+\w++(?:[.]\w++)*+\s*+(?::?\s*+\w++\s*+)?=(?!=)\s*+\S", r"^[^\S\n]*+(?:#include|from|import|package|require|using)\s+[\"'./<{\w]", r"^[^\S\n]*+(?:class|enum|interface|struct|trait)\s+\w+\s*[({:<]", r"^[^\S\n]*+(?:elif|else\s*if|for|if|match|switch|while)\s*[({]", r"\b[A-Za-z_]\w*+[.][A-Za-z_]\w*+\s*+\(", r"^[^\S\n]*+@[A-Za-z_]", r"^[^\S\n]*+#(?:define|endif|ifn?def|import|pragma)\s", r"^[^\S\n]*+(?:raise|return|throw|yield)\s+\S", r"^[^\S\n]*+\S.*;[^\S\n]*$", r"(?<!\\)\b[A-Za-z_]\w*+\(", r"(?i)^[^\S\n]*+(?:alter\s+table|create\s+table|delete\s+from|drop\s+table|insert\s+into|select\s.+\sfrom\s|update\s+\w+\s+set)", r"^[^\S\n]*+[A-Za-z_][.\w]*\s*<-\s*\S")]
 _NOTATION = re.compile(r"\\(?:cdot|frac|int|left|mathbb|nabla|partial|right|sqrt|sum|text)\b|[∑∏∫∂∇λΔΣΩπμθ≈≠≤≥±∈∉⊂⊃∪∩∞]")
 _KV = re.compile(r"^\s*[-\w.\x22' ]+:(?:\s|$)")
 _ITEM = re.compile(r"^\s*-\s+\S")
@@ -96,9 +97,10 @@ def letters(line: str) -> float:
 
 def keyword_hits(line: str) -> int:
     n = len(_STRICT.findall(line))
+    first = len(line) - len(line.lstrip())
     for m in _CONTEXTUAL.finditer(line):
-        before, after = line[: m.start()], line[m.end() : m.end() + 20]
-        if not before.strip() or before.endswith(".") or any(c in "([{:=" for c in after):
+        at, after = m.start(), line[m.end() : m.end() + 20]
+        if at <= first or line[at - 1] == "." or any(c in "([{:=" for c in after):
             n += 1
     return n
 
@@ -115,7 +117,7 @@ def line_score(line: str) -> float:
     score += (0.1 if s[-1] in "{;)],:" else 0.0) + (0.1 if _ASSIGN.match(s) else 0.0) + (0.05 if len(line) - len(line.lstrip()) >= 2 else 0.0)
     kinds: Counter = Counter()
     quoted = 0
-    dots = len(re.findall(r"[A-Za-z_]\w*[.][A-Za-z_]", s))
+    dots = _DOTTED.search(s)
     for m in _TOKENS.finditer(s):
         kinds[m.lastgroup] += 1
         quoted += len(m[0]) if m.lastgroup == "s" else 0
