@@ -216,7 +216,7 @@ def opaque_confidence(q: Dialect, v: str, floor: float = 0.7, classes_: int = 3,
 
 #: A line (without blanks around it) of a stack trace or error message, where names are no keys of assignments: frames of
 #: several languages, cells, raised and named errors, panics.
-_TRACE = r"(?:(?:in|at) [0-9A-Za-z_][0-9A-Za-z_.]*[(]|at\s+[0-9A-Za-z_.$]+[(]|(?:[Rr]aise)\s+[0-9A-Za-z_]|[0-9A-Za-z_]*(?:Error|Exception):|panic:|goroutine [0-9]|Cell In\\[|Traceback [(]most recent|File \x22.+\x22, line [0-9])"
+_TRACE = r"(?:(?:in|at) [0-9A-Za-z_][0-9A-Za-z_.]*[(]|at\s+[0-9A-Za-z_.$]+[(]|(?:[Rr]aise)\s+[0-9A-Za-z_]|[0-9A-Za-z_]*(?:Error|Exception):|panic:|goroutine [0-9]|Cell In\[|Traceback [(]most recent|File \x22.+\x22, line [0-9])"
 TRACE_LINE = re.compile(_TRACE)
 
 

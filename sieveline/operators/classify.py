@@ -14,10 +14,10 @@ from .engines import FIELDS
 from .profile import profile_steps
 
 
-def raw_steps(q: Dialect, columns: str, samples: str, least: float = 0.5, extra: str | None = None) -> list[tuple[str, str]]:
+def raw_steps(q: Dialect, columns: str, samples: str, least: float = 0.5, extra: str | None = None, rules=None, patterns=None) -> list[tuple[str, str]]:
     """Steps ending in ``raw``: all engines' findings. ``extra``: a relation of further findings, as of a model."""
     parts = ["by_name", "by_rule", "by_content", "by_stats", "by_secret"]
-    out = [*profile_steps(q, samples), *engines.by_name(q, columns, least), *engines.by_profile_rule(q, columns), *engines.by_content(q, columns, samples), *engines.by_statistics(q, least), *engines.by_secret(q, columns, samples, least), *engines.by_entropy(q)]
+    out = [*profile_steps(q, samples), *engines.by_name(q, columns, least), *engines.by_profile_rule(q, columns, rules), *engines.by_content(q, columns, samples, patterns), *engines.by_statistics(q, least), *engines.by_secret(q, columns, samples, least), *engines.by_entropy(q)]
     union = " UNION ALL ".join(f"SELECT {', '.join(FIELDS)} FROM {p}" for p in [*parts, *([extra] if extra else [])])
     return [*out, ("raw", union)]
 
@@ -27,14 +27,17 @@ def classify_sql(q: Dialect, columns: str, samples: str, least: float = 0.5, cat
     return chain(all_steps, passes.ranked(q, "final", most, gap, aggressive))
 
 
-def classify(columns: DataFrame, samples: DataFrame, min_confidence: float = 0.5, categories: list[str] | None = None, max_findings: int | None = None, confidence_gap: float = 0.3, aggressive: bool = False, model: DataFrame | None = None) -> DataFrame:
-    """Labels of columns, best first. ``model``: findings of a plugged-in model, joined like an engine's."""
-    return _staged(columns, samples, passes.ranked(SPARK, "final", max_findings, confidence_gap, aggressive), min_confidence, categories, model)
+def classify(columns: DataFrame, samples: DataFrame, min_confidence: float = 0.5, categories: list[str] | None = None, max_findings: int | None = None, confidence_gap: float = 0.3, aggressive: bool = False, model: DataFrame | None = None, per_value: DataFrame | None = None, predicted: DataFrame | None = None, rules=None, patterns=None) -> DataFrame:
+    """Labels of columns, best first. ``model``: findings of a plugged-in model, joined like an engine's; ``per_value``: those of
+    a model on the values of free-text columns; ``predicted``: (column_id, entity_type, confidence) of a second-stage model;
+    ``rules`` and ``patterns``: of a profile of one's own (``sources.profiles``), and patterns of one's own."""
+    return _staged(columns, samples, passes.ranked(SPARK, "final", max_findings, confidence_gap, aggressive), min_confidence, categories, model, per_value, predicted, rules, patterns)
 
 
-def _staged(columns: DataFrame, samples: DataFrame, last: str, least: float = 0.5, categories: list[str] | None = None, model: DataFrame | None = None) -> DataFrame:
-    tables = {"columns_": columns, "samples_": samples} | ({"model_": model} if model is not None else {})
-    steps = raw_steps(SPARK, "columns_", "samples_", least, "model_" if model is not None else None) + passes.steps(SPARK, "raw", "columns_", least, categories)
+def _staged(columns: DataFrame, samples: DataFrame, last: str, least: float = 0.5, categories: list[str] | None = None, model: DataFrame | None = None, per_value: DataFrame | None = None, predicted: DataFrame | None = None, rules=None, patterns=None) -> DataFrame:
+    tables = {"columns_": columns, "samples_": samples} | {k: v for k, v in (("model_", model), ("per_value_", per_value), ("predicted_", predicted)) if v is not None}
+    given = lambda n: n if n in tables else None
+    steps = raw_steps(SPARK, "columns_", "samples_", least, given("model_"), rules, patterns) + passes.steps(SPARK, "raw", "columns_", least, categories, given("per_value_"), given("predicted_"), rules)
     return staged(columns.sparkSession, steps, last, passes.CUTS, **tables)
 
 

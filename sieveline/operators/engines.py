@@ -58,9 +58,11 @@ def by_name(q: Dialect, columns: str, least: float = 0.5) -> list[tuple[str, str
     ]
 
 
-def by_profile_rule(q: Dialect, columns: str) -> list[tuple[str, str]]:
-    """Column names against the regular expressions of the profile; the first rule wins."""
-    rules = profile_rules()
+def by_profile_rule(q: Dialect, columns: str, rules=None) -> list[tuple[str, str]]:
+    """Column names against the regular expressions of a profile (the standard one, if none is given); the first rule wins."""
+    rules = profile_rules() if rules is None else rules
+    if not rules:
+        return [("by_rule", f"SELECT {_finding(q, column_id='column_id', entity_type=q.text(''), category=q.text(''), sensitivity=q.text(''), confidence='CAST(0 AS DOUBLE)', engine=q.text('regex'), authority='5', seq='2000')} FROM {columns} WHERE false")]
     first = "CASE " + " ".join(f"WHEN {' OR '.join(q.like('lower(column_name)', p) for p in r[5])} THEN {k}" for k, r in enumerate(rules)) + " END"
     rows = [(k, e, c, s, conf) for k, (e, c, s, conf, _, _) in enumerate(rules)]
     regs = "CASE " + " ".join(f"WHEN rule = {k} THEN {q.texts(r[4])}" for k, r in enumerate(rules)) + " END"
@@ -80,24 +82,29 @@ def screened(q: Dialect, regex: str) -> str:
     return " AND ".join([f"size_ >= {size}"] + ([f"digits_ >= {n}"] if n else []) + ([T.contains_any(q, "low_", parts)] if parts else []))
 
 
-def by_content(q: Dialect, columns: str, samples: str, patterns=None) -> list[tuple[str, str]]:
-    """Sampled values against the content patterns: matches, validated matches and confidence."""
+def by_content(q: Dialect, columns: str, samples: str, patterns=None, evidence: bool = True) -> list[tuple[str, str]]:
+    """Values against the content patterns: matches, validated matches and confidence, moved by the words beside the matches.
+    ``evidence``: keep the first five matches, for samples, which are bounded; over whole tables it is left out."""
     ps = content_patterns() if patterns is None else patterns
     hits = q.array([f"CASE WHEN {screened(q, p.regex)} AND {q.like('value', p.regex)} THEN {k} END" for k, p in enumerate(ps)])
     known = [(k, p) for k, p in enumerate(ps) if p.validator in validators.VALIDATORS]
     valid = "CASE p " + " ".join(f"WHEN {k} THEN {validators.VALIDATORS[p.validator](q, q.first('value', p.regex, 0))}" for k, p in known) + " ELSE true END" if known else "true"
     hinted = [(k, p) for k, p in enumerate(ps) if p.hints]
     gate = "CASE p " + " ".join(f"WHEN {k} THEN {T.contains_any(q, 'lower(column_name)', p.hints)}" for k, p in hinted) + " ELSE true END" if hinted else "true"
+    known_false = [f"(p = {k} AND ({' OR '.join([q.like('value', a) for a in p.allow] + ([q.any_in('lower(trim(value))', [w.lower() for w in p.stop])] if p.stop else []))}))" for k, p in enumerate(ps) if p.allow or p.stop]
+    worded = [(k, p) for k, p in enumerate(ps) if p.boost or p.suppress]
+    moved = "avg(CASE p " + " ".join(f"WHEN {k} THEN {T.context_adjustment(q, 'value', list(p.boost), list(p.suppress))}" for k, p in worded) + " ELSE 0.0 END)" if worded else "0.0"
     rows = [(k, p.name, p.entity_type, p.category, p.sensitivity, p.confidence, int(bool(p.validator))) for k, p in enumerate(ps)]
     keep = "x_ IS NOT NULL"
+    sure = "(CASE WHEN checked = 1 AND validated > 0 AND raw >= 0.7 THEN greatest(raw, CAST(0.95 AS DOUBLE)) ELSE raw END)"
     return [
         ("cv", f"SELECT column_id, pos, value, {screen_columns(q, 'value')} FROM {samples} WHERE value IS NOT NULL"),
         ("cn", "SELECT column_id, count(*) AS scanned FROM cv GROUP BY column_id"),
         ("ch", f"SELECT column_id, pos, value, {q.explode(q.filter(hits, 'x_', keep))} AS p FROM cv WHERE NOT {q.any_in('lower(trim(value))', stopwords())}"),
-        ("ck", f"SELECT h.*, {valid} AS valid FROM ch h JOIN {columns} c ON h.column_id = c.column_id WHERE {gate}"),
-        ("ca", f"SELECT column_id, p, count(*) AS matched, sum(CASE WHEN valid THEN 1 ELSE 0 END) AS validated, {q.collect('value', 'pos', 5)} AS matches FROM ck GROUP BY column_id, p"),
+        ("ck", f"SELECT h.*, {valid} AS valid FROM ch h JOIN {columns} c ON h.column_id = c.column_id WHERE {gate}{' AND NOT (' + ' OR '.join(known_false) + ')' if known_false else ''}"),
+        ("ca", f"SELECT column_id, p, count(*) AS matched, sum(CASE WHEN valid THEN 1 ELSE 0 END) AS validated, {q.double(moved)} AS moved_, {q.collect('value', 'pos', 5) if evidence else q.texts([])} AS matches FROM ck GROUP BY column_id, p"),
         ("cc", f"SELECT a.*, d.*, base * (CASE WHEN validated < matched THEN CAST(validated AS DOUBLE) / matched ELSE CAST(1 AS DOUBLE) END) AS raw FROM ca a JOIN {q.values(rows, ['id', 'name', 'entity_type', 'category', 'sensitivity', 'base', 'checked'])} d ON a.p = d.id"),
-        ("by_content", f"SELECT {_finding(q, column_id='c.column_id', entity_type='entity_type', category='category', sensitivity='sensitivity', confidence='CASE WHEN checked = 1 AND validated > 0 AND raw >= 0.7 THEN greatest(raw, CAST(0.95 AS DOUBLE)) ELSE raw END', engine=q.text('regex'), authority='5', seq='3000 + p', detection_type='name', matched='CAST(matched AS BIGINT)', validated='CAST(validated AS BIGINT)', scanned='CAST(n.scanned AS BIGINT)', matches='matches')} FROM cc c JOIN cn n ON c.column_id = n.column_id WHERE raw > 0"),
+        ("by_content", f"SELECT {_finding(q, column_id='c.column_id', entity_type='entity_type', category='category', sensitivity='sensitivity', confidence=f'greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), moved_ + {sure}))' if worded else sure, engine=q.text('regex'), authority='5', seq='3000 + p', detection_type='name', matched='CAST(matched AS BIGINT)', validated='CAST(validated AS BIGINT)', scanned='CAST(n.scanned AS BIGINT)', matches='matches')} FROM cc c JOIN cn n ON c.column_id = n.column_id WHERE raw > 0"),
     ]
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from ..functions import text as T
 from ..functions.dialect import Dialect
 from ..model import DOMAIN_DELTAS, DOMAIN_SIGNALS, FAMILY, SPECIFICITY, case
+from ..patterns import profile_rules
 from .engines import FIELDS
 
 CHECKSUMS = ["ABA_ROUTING", "CANADIAN_SIN", "CREDIT_CARD", "DEA_NUMBER", "IBAN", "NPI", "VIN"]
@@ -118,6 +119,37 @@ def with_entropy(q: Dialect, src: str, shape: str) -> str:
     return f"SELECT {', '.join(FIELDS)} FROM {src} UNION ALL SELECT {cols} FROM by_entropy e JOIN {shape} s ON e.column_id = s.column_id LEFT JOIN (SELECT DISTINCT column_id FROM {src}) f ON e.column_id = f.column_id WHERE s.shape = 'opaque_tokens' AND f.column_id IS NULL"
 
 
+def united(q: Dialect, src: str, extra: str, shape: str) -> str:
+    """Findings of single values (of a model) in columns of free text join the others; of one type the surer one stays, the
+    earlier of equal ones."""
+    cols = ", ".join(FIELDS)
+    both = f"SELECT {cols}, 0 AS late_ FROM {src} UNION ALL SELECT {', '.join(f'x.{c} AS {c}' for c in FIELDS)}, 1 AS late_ FROM {extra} x JOIN {shape} s ON x.column_id = s.column_id WHERE s.shape = 'free_text_heterogeneous'"
+    # only what comes from outside may replace: findings of one type by several detections stay
+    return f"""SELECT {cols} FROM (SELECT *, max(CASE WHEN late_ = 0 THEN confidence END) OVER (PARTITION BY column_id, entity_type) AS own_, max(CASE WHEN late_ = 1 THEN confidence END) OVER (PARTITION BY column_id, entity_type) AS new_ FROM ({both}) u_) v_
+WHERE CASE WHEN late_ = 0 THEN new_ IS NULL OR own_ >= new_ ELSE own_ IS NULL OR new_ > own_ END"""
+
+
+def directive(q: Dialect, src: str, predicted: str, rules=None) -> str:
+    """A second-stage model's type for a column (``predicted``: column_id, entity_type, confidence) becomes its first finding,
+    if the model is sure enough and the column has findings: an existing one is promoted, else one is made from the profile."""
+    cols = ", ".join(FIELDS)
+    seen: dict[str, tuple] = {}
+    for e, c, s, _, regs, _ in profile_rules() if rules is None else rules:
+        seen.setdefault(e, (c, s, regs))
+    noted = f"""SELECT f.*, p.entity_type AS p_e, p.confidence AS p_c, max(f.confidence) OVER (PARTITION BY f.column_id) AS top_, row_number() OVER (PARTITION BY f.column_id ORDER BY f.confidence DESC, f.seq) AS rn_, row_number() OVER (PARTITION BY f.column_id, f.entity_type ORDER BY f.seq) AS re_
+FROM {src} f LEFT JOIN {predicted} p ON f.column_id = p.column_id AND p.entity_type NOT IN ('', 'NEGATIVE') AND p.confidence >= 0.5"""
+    judged = f"SELECT *, max(CASE WHEN rn_ = 1 THEN entity_type END) OVER (PARTITION BY column_id) AS te_, max(CASE WHEN entity_type = p_e THEN 1 ELSE 0 END) OVER (PARTITION BY column_id) AS has_ FROM ({noted}) n_"
+    acts = f"SELECT *, p_e IS NOT NULL AND te_ <> p_e AND NOT (top_ >= 0.8 AND top_ >= p_c) AS act_ FROM ({judged}) j_"
+    mine = "act_ AND has_ = 1 AND entity_type = p_e"
+    changed = {"confidence": f"CASE WHEN {mine} THEN least(CAST(1 AS DOUBLE), greatest(top_ + 0.01, p_c)) ELSE confidence END", "engine": f"CASE WHEN {mine} THEN 'second_stage' ELSE engine END"}
+    kept = f"SELECT {', '.join(f'{changed[f]} AS {f}' if f in changed else f for f in FIELDS)} FROM ({acts}) a_ WHERE NOT ({mine} AND re_ > 1)"
+    of = lambda k: "CASE p_e " + " ".join(f"WHEN '{e}' THEN {q.text(x[k])}" for e, x in seen.items()) + " END"
+    regs = "CASE p_e " + " ".join(f"WHEN '{e}' THEN {q.texts(x[2])}" for e, x in seen.items()) + " END"
+    given = dict(entity_type="p_e", category=of(0), sensitivity=of(1), confidence="p_c", regulatory=regs, engine="'second_stage'", authority="0", seq="0", detection_type="''", matched="CAST(NULL AS BIGINT)", validated="CAST(NULL AS BIGINT)", scanned="CAST(NULL AS BIGINT)", matches=q.texts([]))
+    new = f"SELECT {', '.join(f'{given[f]} AS {f}' if f in given else f for f in FIELDS)} FROM ({acts}) b_ WHERE act_ AND has_ = 0 AND rn_ = 1 AND {q.any_in('p_e', list(seen))}"
+    return f"SELECT {cols} FROM ({kept}) k_ UNION ALL SELECT {cols} FROM ({new}) m_"
+
+
 def gate(q: Dialect, src: str, raw: str) -> str:
     """(column_id, fired, reason, primary_entity): whether a credential was found beyond doubt; observed only."""
     top = lambda where: f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY column_id ORDER BY confidence DESC, seq) AS r_ FROM {where}) x_ WHERE r_ = 1)"
@@ -176,8 +208,9 @@ def ranked(q: Dialect, src: str, most: int | None = None, gap: float = 0.3, aggr
 CUTS = ("profile", "raw", "f6", "f11", "shape")
 
 
-def steps(q: Dialect, raw: str, columns: str, least: float = 0.5, categories: list[str] | None = None) -> list[tuple[str, str]]:
-    """The chain from the engines' findings to ``final``. Needs ``profile``, ``nr`` and ``by_entropy``."""
+def steps(q: Dialect, raw: str, columns: str, least: float = 0.5, categories: list[str] | None = None, per_value: str | None = None, predicted: str | None = None, rules=None) -> list[tuple[str, str]]:
+    """The chain from the engines' findings to ``final``. Needs ``profile``, ``nr`` and ``by_entropy``. ``per_value``: a
+    relation of findings of a model on single values; ``predicted``: one of a second-stage model's types."""
     out = [
         ("hetero", "SELECT column_id FROM profile WHERE word_ratio >= 0.1"),
         ("f2", calibrated(q, raw)),
@@ -195,9 +228,11 @@ def steps(q: Dialect, raw: str, columns: str, least: float = 0.5, categories: li
         ("f10", in_urls(q, "f9")),
         ("f11", noise(q, "f10")),
         ("shape", shapes(q, "f11", columns)),
-        ("f14", with_entropy(q, "f11", "shape")),
+        *([("f13", united(q, "f11", per_value, "shape"))] if per_value else []),
+        ("f14", with_entropy(q, "f13" if per_value else "f11", "shape")),
         ("f15", weak_checksums(q, "f14", "shape")),
-        ("f18", select("f15", f"confidence >= {least}")),
+        *([("f16", directive(q, "f15", predicted, rules))] if predicted else []),
+        ("f18", select("f16" if predicted else "f15", f"confidence >= {least}")),
         ("f19", siblings(q, "f18", columns, least)),
         ("final", select("f19", q.any_in("category", categories) if categories else "")),
     ]

@@ -26,6 +26,10 @@ class Pattern(NamedTuple):
     validator: str
     hints: tuple[str, ...]
     regex: str  # ``%b`` still stands for the boundary
+    allow: tuple[str, ...] = ()  # a value with a match of one of these is a known false positive
+    stop: tuple[str, ...] = ()  # placeholders of this pattern alone
+    boost: tuple[str, ...] = ()  # words of a value that support the pattern, or speak against it
+    suppress: tuple[str, ...] = ()
 
 
 def required(node) -> set[str] | None:

@@ -11,6 +11,7 @@ from ..functions import validators
 from ..functions.dialect import DUCK, SPARK, Dialect
 from ..model import FAMILY, case
 from ..operators import classify as C
+from ..patterns import content_patterns
 from ..operators import engines, passes, profile, rollup
 from ..sources.columns import long_sql, sample_sql
 from .sql import chain, over, staged
@@ -130,8 +131,9 @@ def _(q, conversations):
 
 @sql("resume_anti_join", "conversations")
 def _(q, conversations):
-    """Turns that an earlier run (here: the even conversations) has not handled."""
-    return f"SELECT c.conv_id, c.turn, c.role FROM {conversations} c LEFT ANTI JOIN (SELECT DISTINCT conv_id FROM {conversations} WHERE conv_id % 2 = 0) d ON c.conv_id = d.conv_id" if q.spark else f"SELECT conv_id, turn, role FROM {conversations} c WHERE NOT EXISTS (SELECT 1 FROM {conversations} d WHERE d.conv_id % 2 = 0 AND d.conv_id = c.conv_id)"
+    """Turns that are still to be handled: those of conversations that have no answer yet past them."""
+    done = f"SELECT conv_id, max(turn) AS upto FROM {conversations} WHERE role = 'assistant' GROUP BY conv_id"
+    return f"SELECT c.conv_id, c.turn, c.role FROM {conversations} c {'LEFT ANTI' if q.spark else 'ANTI'} JOIN ({done}) d ON c.conv_id = d.conv_id AND c.turn <= d.upto"
 
 
 @sql("stable_subsample", "documents")
@@ -264,10 +266,46 @@ def _(q, **t):
 @sql("content_match_whole", *MADE_TABLES)
 def _(q, **t):
     """The same over all values of the columns, no sample."""
-    steps = [("made_columns", made_columns(q)), ("made_values", made_values(q, t)), ("all_values", "SELECT column_id, CAST(0 AS BIGINT) AS pos, value FROM made_values"), *engines.by_content(q, "made_columns", "all_values")]
+    steps = [("made_columns", made_columns(q)), ("made_values", made_values(q, t)), ("all_values", "SELECT column_id, CAST(0 AS BIGINT) AS pos, value FROM made_values"), *engines.by_content(q, "made_columns", "all_values", evidence=False)]
     return chain(steps, "SELECT column_id, detection_type, entity_type, round(confidence, 6) AS confidence, matched, validated, scanned FROM by_content")
 
 
+_OWN_RULES = (("LOYALTY_ID", "PII", "LOW", 0.6, ("GDPR",), (r"(?:^|_)(?:loyalty|club|member)(?:_|$)",)), ("CUSTOMER_NAME", "PII", "MEDIUM", 0.7, ("GDPR", "CCPA"), (r"^c_name$", r"cust.*name")), ("ANY_NAME", "PII", "LOW", 0.55, ("GDPR",), ("name$",)))
+
+
+@sql("custom_profile_match")
+def _(q):
+    """Column names under a profile of one's own; the first rule wins."""
+    rows = [("all", f"y.{k}", n, "shop", "STRING") for k, n in enumerate("club_id member_no c_name customer_full_name p_name total Loyalty_Card".split())]
+    columns = f"(SELECT * FROM {_names_of(q, {})} UNION ALL SELECT * FROM {q.values(rows, ['group_id', 'column_id', 'column_name', 'table_name', 'data_type'])})"
+    return chain([("columns_", f"SELECT * FROM {columns} AS c_"), *engines.by_profile_rule(q, "columns_", _OWN_RULES)], f"SELECT column_id, entity_type, sensitivity, confidence, {q.size('regulatory')} AS regulations FROM by_rule")
+
+
+def _own_patterns():
+    base = {p.name: p for p in content_patterns()}
+    return (
+        base["email_address"]._replace(allow=("@mail[03][.]org$",), stop=("user1@mail1.org", "USER8@MAIL1.ORG")),
+        base["ipv4_address"]._replace(allow=(r"^1[0-9][.]", r"[.]7[.][0-9]+$")),
+        base["email_address"]._replace(name="noted_number", entity_type="NOTED", regex="[0-9]{2,}", validator="", boost=("invoice",), suppress=("public",)),
+        base["email_address"]._replace(name="doubted_number", entity_type="DOUBTED", regex="number [0-9]+", validator="", boost=("nowhere",), suppress=("Public", "private")),
+    )
+
+
+@sql("content_allowlist_context", *MADE_TABLES)
+def _(q, **t):
+    """Patterns with known false positives, placeholders of their own, and words that move their confidence, over all values."""
+    steps = [("made_columns", made_columns(q)), ("made_values", made_values(q, t)), ("all_values", "SELECT column_id, CAST(0 AS BIGINT) AS pos, value FROM made_values"), *engines.by_content(q, "made_columns", "all_values", _own_patterns(), evidence=False)]
+    return chain(steps, "SELECT column_id, detection_type, entity_type, round(confidence, 6) AS confidence, matched, validated, scanned FROM by_content")
+
+
+@sql("trace_lines", "orders")
+def _(q, orders):
+    """Which lines of logs belong to stack traces, so that their names are no keys."""
+    forms = ["Traceback (most recent call last):", 'File "/srv/app{}.py", line 12, in token', "  raise ValueError(token)", "at com.shop.Auth{}.login(Auth.java:5)", "in load_{}(secret, password)", "KeyError: 'password{}'", "TimeoutException: token={}", "goroutine 1{} [running]:", "panic: secret={}", "Cell In[3], line {}", "password = hunter{}", "token: {}", "error in {}", "attach(secret{})", "Raised {}"]
+    line = f"CASE o_orderkey % {len(forms)} " + " ".join(f"WHEN {k} THEN replace({q.text(f)}, '{{}}', CAST(o_orderkey % 97 AS STRING))" for k, f in enumerate(forms)) + " END"
+    return _text(q, f"SELECT o_orderkey, line, {T.trace_line(q, 'line')} AS trace FROM (SELECT o_orderkey, {line} AS line FROM {orders}) l_")
+
+
 @sql("heuristic_ssn_aba", *MADE_TABLES)
 def _(q, **t):
     return chain([*_made(q, t), *profile.profile_steps(q, "made_samples"), *engines.by_statistics(q)], "SELECT column_id, entity_type, round(confidence, 4) AS confidence FROM by_stats")
@@ -371,6 +409,21 @@ _pass("phone", lambda q: passes.phone(q, "given", "cols"))
 _pass("generic_credential", lambda q: passes.generic(q, "given"))
 _pass("in_urls", lambda q: passes.in_urls(q, "given"))
 _pass("credential_noise", lambda q: passes.noise(q, "given"))
+def _model_says(q, of: str) -> str:
+    kinds = "SSN EMAIL NEGATIVE PASSPORT PHONE API_KEY UNHEARD_OF".split()
+    h = "CAST(substr(column_id, 2) AS INT)" if q.spark else "CAST(substr(column_id, 2) AS INTEGER)"
+    kind = f"CASE {h} % {len(kinds)} " + " ".join(f"WHEN {k} THEN '{e}'" for k, e in enumerate(kinds)) + " END"
+    return f"(SELECT column_id, {kind} AS entity_type, CAST(40 + {h} % 60 AS DOUBLE) / 100 AS confidence FROM (SELECT DISTINCT column_id FROM {of}) k_)"
+
+
+def _spans_say(q) -> str:
+    given = {"entity_type": "CASE WHEN e.seq % 2 = 0 THEN 'EMAIL' ELSE 'SSN' END", "engine": "'model'", "confidence": "e.confidence - 0.02"}
+    cols = ", ".join(f"{given.get(c, f'e.{c}')} AS {c}" for c in engines.FIELDS)
+    return f"(SELECT {cols} FROM (SELECT *, row_number() OVER (PARTITION BY column_id ORDER BY seq) AS k_ FROM given) e WHERE k_ = 1)"
+
+
+_pass("per_value_union", lambda q: passes.united(q, "given", _spans_say(q), "(SELECT DISTINCT column_id, CASE WHEN column_id LIKE '%3' THEN 'opaque_tokens' ELSE 'free_text_heterogeneous' END AS shape FROM given)"))
+_pass("second_stage", lambda q: passes.directive(q, "given", _model_says(q, "given")))
 _pass("siblings", lambda q: passes.siblings(q, "given", "cols", 0.5))
 _pass("gap", lambda q: passes.ranked(q, "given", gap=0.2))
 _pass("gap_aggressive", lambda q: passes.ranked(q, "given", aggressive=True))

@@ -17,8 +17,8 @@ from .sql import chain
 _BY_NAME = {p.name: p for p in content_patterns()}
 
 
-#: Patterns counted over whole texts
-_COUNTED = [p for p in content_patterns() if p.category != "Credential" and not p.hints and not p.regex.startswith("%b(?i)")]
+#: Patterns counted over whole texts; those that only hold in columns of a certain name have no place there
+_COUNTED = [p for p in content_patterns() if p.category != "Credential" and not p.hints]
 SUMS |= {f"scan_{n}": ["valid"] for n in ("email", "ipv4", "card", "phone", "url")}
 SUMS |= {"pii_spans_by_pattern": [p.name for p in _COUNTED], "zone_line_measures": ["blank", "listed", "commas"], "confidence_buckets": ["high", "mid", "low"], "label_set_metrics": ["exact", "hit", "missed", "extra", "all_missed"], "session_counts": ["sessions"]}
 
