@@ -47,7 +47,7 @@ WANTED_ROWS = 1_000_000
 #: Lines of a key group that one task compares; a larger group is passed on in blocks of so many.
 BIG = 4096
 #: Lines a map task remembers as indexed.
-SEEN = 1_000_000
+SEEN = 100_000
 
 #: Four classes of letters, counted two at a time in the halves of a word.
 _CLASSES = np.zeros((2, 256), np.uint64)

@@ -334,10 +334,13 @@ def weighted_jaccard(s: np.ndarray, n: np.ndarray, t: np.ndarray, m: np.ndarray)
 
 
 def _verify(batches):
-    for t in batches:
-        s, n, u, m = (t.column(k).to_pylist() for k in range(2, 6))
-        sim = [weighted_jaccard(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32), np.frombuffer(c, np.uint64), np.frombuffer(d, np.uint32)) for a, b, c, d in zip(s, n, u, m)]
-        yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(sim, pa.float64())], names=["a", "b", "similarity"])
+    for b in batches:
+        # shingles of long texts are large: few rows are unpacked at once
+        for at in range(0, b.num_rows, 128):
+            t = b.slice(at, 128)
+            s, n, u, m = (t.column(k).to_pylist() for k in range(2, 6))
+            sim = [weighted_jaccard(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32), np.frombuffer(c, np.uint64), np.frombuffer(d, np.uint32)) for a, b, c, d in zip(s, n, u, m)]
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(sim, pa.float64())], names=["a", "b", "similarity"])
 
 
 def _judged(pairs: DataFrame, reps: DataFrame, texts: DataFrame, named: DataFrame) -> DataFrame:
