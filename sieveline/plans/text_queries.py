@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import validators
+from ..functions.dialect import DUCK, SPARK
 from ..model import FAMILY, case
 from ..operators import engines, metrics, passes, spans, structured, zones
 from ..patterns import content_patterns
 from ..sources import prompts
 from ..streaming import jobs
-from .catalogue import FRAMES, SUMS, _random_findings, _text, read, spread, sql
+from .catalogue import FRAMES, ORACLES, SUMS, _random_findings, _text, read, spread, sql
 from .sql import chain
 
 _BY_NAME = {p.name: p for p in content_patterns()}
@@ -40,6 +41,24 @@ _scan("scan_phone", "us_phone_formatted", "documents", "doc_id", "text")
 _scan("scan_url", "url", "pages", "page_id", "html")
 
 
+@sql("scan_url_made", "supplier")
+def _(q, supplier):
+    """The same over values that hold addresses of pages: the given tables have few."""
+    p = _BY_NAME["url"]
+    value = "concat('see https://site', CAST(s_suppkey AS STRING), '.example.org/a?b=', CAST(s_suppkey % 7 AS STRING), ' and ftp:// or http://x', CAST(s_suppkey % 5 AS STRING), '.net')"
+    found = f"SELECT s_suppkey, {q.explode(q.all('value', p.regex, 0))} AS value FROM (SELECT s_suppkey, {value} AS value FROM {supplier}) v_"
+    return _text(q, f"SELECT s_suppkey, count(*) AS matches, min(value) AS first_url FROM ({found}) f_ GROUP BY s_suppkey")
+
+
+@sql("opaque_tokens_made", "customer")
+def _(q, customer):
+    """Bare tokens made from keys: random ones, hexadecimal ones, names and identifiers."""
+    forms = ["concat(upper(substr(md5(CAST(c_custkey AS STRING)), 1, 12)), 'xYz_', substr(md5(CAST(c_custkey + 1 AS STRING)), 1, 14), 'Qw-Rt')", "md5(CAST(c_custkey AS STRING))", "concat('com.example.module.name', CAST(c_custkey AS STRING))", "concat('aB3', substr(md5(CAST(c_custkey AS STRING)), 1, 20), 'Zq')", "concat('test_', md5(CAST(c_custkey AS STRING)), 'AbC-')", "'aaaaaaaaaaaaaaaaaaaaaaaa'"]
+    token = f"CASE c_custkey % {len(forms)} " + " ".join(f"WHEN {k} THEN {f}" for k, f in enumerate(forms)) + " END"
+    steps = [("b", f"SELECT c_custkey, {token} AS token FROM {customer}"), ("m", f"SELECT *, {T.measures(q, 'token')} FROM b"), ("s", f"SELECT *, {T.opaque_confidence(q, 'token')} AS conf FROM m")]
+    return _text(q, chain(steps, f"SELECT c_custkey, {T.mask_text(q, 'token')} AS masked, round(conf, 4) AS confidence FROM s WHERE conf > 0"))
+
+
 @sql("pii_spans_by_pattern", "documents")
 def _(q, documents):
     """Matches of every PII, health and financial pattern over the whole texts."""
@@ -245,6 +264,14 @@ def _events(spark, sf_dir):
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+#: A stream gives a window or session once its watermark, the latest time less the delay, is past its end.
+_PAST = "(SELECT max(ts) FROM events) - INTERVAL '10' MINUTE"
+ORACLES["stream_window_counts"] = f"""SELECT "start", "start" + INTERVAL '5' MINUTE AS "end", event_type, n FROM (SELECT time_bucket(INTERVAL '5 minutes', ts) AS "start", event_type, count(*) AS n FROM events GROUP BY 1, 2) w WHERE "start" + INTERVAL '5' MINUTE <= {_PAST}"""
+ORACLES["stream_sessions"] = f"""WITH a AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL '30' MINUTE THEN 0 ELSE 1 END AS new_ FROM events),
+b AS (SELECT *, sum(new_) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM a)
+SELECT user_id, min(ts) AS "start", max(ts) + INTERVAL '30' MINUTE AS "end", count(*) AS n, round(sum(value), 4) AS value FROM b GROUP BY user_id, s HAVING "end" <= {_PAST}"""
+
+
 @frame("stream_window_counts")
 def _(spark, sf_dir):
     return jobs.drained(jobs.counts(_events(spark, sf_dir)), "stream-counts")
@@ -252,4 +279,32 @@ def _(spark, sf_dir):
 
 @frame("stream_sessions")
 def _(spark, sf_dir):
-    return jobs.drained(jobs.sessions(_events(spark, sf_dir)), "stream-sessions")
+    return jobs.drained(jobs.sessions(_events(spark, sf_dir)), "stream-sessions").withColumn("value", F.round("value", 4))
+
+
+_MAIL = _BY_NAME["email_address"].regex
+ORACLES["redaction_of_given_spans"] = f"SELECT doc_id, {DUCK.replace('text', _MAIL, '[REDACTED:EMAIL]')} AS type_label, {DUCK.replace('text', _MAIL, '«secret»')} AS placeholder FROM documents WHERE text IS NOT NULL"
+
+
+@frame("redaction_of_given_spans")
+def _(spark, sf_dir):
+    """Redaction alone: the spans are all addresses of a text, their places found by cutting the text at them."""
+    cut = f"split(text, {SPARK.regex(_MAIL)}, -1)"
+    at = "aggregate(slice(parts, 1, i + 1), 0, (a, x) -> a + length(x)) + aggregate(slice(hits, 1, i), 0, (a, x) -> a + length(x))"
+    docs = read(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text", F.expr(cut).alias("parts"), F.expr(SPARK.all("text", _MAIL)).alias("hits"))
+    given = docs.withColumn("given", F.expr(f"transform(hits, (h, i) -> named_struct('entity_type', 'EMAIL', 'start', {at}, 'end', {at} + length(h)))"))
+    return given.select("doc_id", *[spans.redacted("text", "given", s).alias(s.replace("-", "_")) for s in ("type-label", "placeholder")])
+
+
+_CODED = "CASE WHEN line LIKE '%|%' THEN 'data' WHEN line LIKE '%=%' THEN 'config' WHEN length(line) % 7 = 0 THEN 'code' ELSE 'natural_language' END"
+ORACLES["zones_of_given_blocks"] = f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), z AS (SELECT doc_id, {_CODED} AS zone_type, count(*) AS n FROM l GROUP BY ALL)
+SELECT doc_id, CAST(max(n) AS BIGINT) AS lines, min_by(zone_type, (-n, zone_type)) AS dominant, count(*) AS kinds FROM z GROUP BY doc_id"""
+
+
+@frame("zones_of_given_blocks")
+def _(spark, sf_dir):
+    """Summary and dominant zone alone: each line is a block whose zone is read off the line."""
+    kind = _CODED.replace("line", "x")
+    docs = read(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.expr(f"transform(split(text, '\n'), (x, i) -> named_struct('start_line', i, 'end_line', i + 1, 'zone_type', {kind}, 'confidence', 1D))").alias("zones"))
+    lines = zones.summary(docs, "doc_id").groupBy("doc_id").agg(F.max("lines").alias("lines"), F.count("*").alias("kinds"))
+    return docs.select("doc_id", zones.dominant().alias("dominant")).join(lines, "doc_id").select("doc_id", F.col("lines").cast("bigint").alias("lines"), "dominant", "kinds")
