@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ODD, chunks, code_points, flags, read, string_buffer, sums
+from .common import ODD, chunks, code_points, flags, lean, read, string_buffer, sums
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CACHE = 300_000
@@ -166,7 +166,7 @@ def encoded(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
                 ids = pa.ListArray.from_arrays(pa.array(at.astype(np.int32), mask=np.append(gone, False)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*[x.slice(i, j - i) for x in b.columns[:-1]], pa.array(n.astype(np.int32), mask=gone), ids, pa.array(good, pa.bool_(), mask=gone)], names=schema.names)
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(lean(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,11 +19,30 @@ from pyspark.sql import functions as F
 #: A side is broadcast only if it was counted and holds at most this many rows.
 BROADCAST_ROWS = 200_000
 #: Bytes of text handled at once in a worker.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def lean(fn):
+    """A function of batches that gives memory back to the system at the end of a task: workers are used again, and an
+    executor's memory would hold what each of them needed at most."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            import ctypes
+
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                return
+
+    return run
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table; documents of fewer input splits than the session has cores are dealt out to all of them,
     a larger table stays as it is read, without a shuffle."""
@@ -228,7 +247,7 @@ def added(df: DataFrame, text: str, new: str, fn) -> DataFrame:
             cols = [pa.chunked_array([x[k] if isinstance(x[k], pa.Array) else pa.array(x[k], kinds[k]) for x in got], kinds[k]).combine_chunks() for k in range(len(fields))]
             yield pa.RecordBatch.from_arrays([*b.columns, *[c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols]], names=[f.name for f in schema.fields])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def lowered(text) -> F.Column:
@@ -274,4 +293,4 @@ def grouped(df: DataFrame, key: str, new: str, fn, bits: int = 0) -> DataFrame:
         if held:
             yield done(pa.Table.from_batches(held))
 
-    return df.repartition(F.shiftright(key, bits) if bits else F.col(key)).sortWithinPartitions(key).mapInArrow(run, schema)
+    return df.repartition(F.shiftright(key, bits) if bits else F.col(key)).sortWithinPartitions(key).mapInArrow(lean(run), schema)

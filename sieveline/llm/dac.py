@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import VOCABULARY, load_ranks
-from .common import chunks, read, string_buffer
+from .common import chunks, lean, read, string_buffer
 
 BLOCK = 512
 
@@ -165,7 +165,7 @@ def written_codes(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(at).astype(np.int32), mask=gone), pa.array([None if g else x for x, g in zip(blobs, gone)], pa.binary())], names=names)
 
     given = docs.select("doc_id", "text")
-    return given.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens int, codes binary")
+    return given.mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens int, codes binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

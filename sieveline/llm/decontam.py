@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, lowered, read, string_buffer, word_mask
+from .common import chunks, lean, lowered, read, string_buffer, word_mask
 
 ERRORS = 8
 PART_BYTES = 32 << 20
@@ -202,7 +202,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 at, item, far, most = (list(x) for x in zip(*rows)) if rows else ([], [], [], [])
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(item, kind), pa.array(far, pa.int32()), pa.array(most, pa.int32())], names=names)
 
-        one = texts.mapInArrow(run, f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, distance int, budget int")
+        one = texts.mapInArrow(lean(run), f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, distance int, budget int")
         out = one if out is None else out.unionByName(one)
     return out.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"), F.max("budget").alias("budget"))
 
@@ -223,7 +223,7 @@ def filtered(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         keep[i + d] = False
                 yield pa.RecordBatch.from_arrays(b.columns[:n], names=b.schema.names[:n]).filter(pa.array(keep))
 
-        docs = given.mapInArrow(run, docs.schema)
+        docs = given.mapInArrow(lean(run), docs.schema)
     return docs
 
 

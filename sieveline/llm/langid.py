@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Slices, chunks, lowered, mix, read, small, string_buffer, word_spans
+from .common import Slices, chunks, lean, lowered, mix, read, small, string_buffer, word_spans
 
 TRAIN_DOCS = 150
 LEXICON = 1500
@@ -338,7 +338,7 @@ def labelled(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *summed(m, off[i : j + 1], data)], names=names)
 
     given = docs.select("doc_id", lowered(F.col("text")).alias("low"))
-    return given.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words int, lang string, share int, n_switches int, span_langs array<string>, span_words array<int>")
+    return given.mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words int, lang string, share int, n_switches int, span_langs array<string>, span_words array<int>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, lowered, read, string_buffer
+from .common import chunks, lean, lowered, read, string_buffer
 from .decontam import squeeze
 
 CLASSES = ("none", "public-domain", "permissive", "weak-copyleft", "copyleft", "network-copyleft", "restricted", "proprietary", "unknown")
@@ -405,7 +405,7 @@ def scanned(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *[pa.array(x, k) for x, k in zip(got, (pa.string(), pa.string(), pa.string(), pa.int32()))]], names=names)
 
     given = docs.select("doc_id", lowered(F.col("text")).alias("low"))
-    return given.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, licences string, expression string, class string, hits int")
+    return given.mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, licences string, expression string, class string, hits int")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Slices, chunks, lowered, mix, read, small, string_buffer, written
+from .common import Slices, chunks, lean, lowered, mix, read, small, string_buffer, written
 
 EDITS = 2
 MIN_BYTES = 40
@@ -335,20 +335,20 @@ def _settled(batches):
 def near_lines(texts: DataFrame, firsts: DataFrame, big: int = BIG) -> DataFrame:
     """(a, a2, b, b2): hashes of different lines within EDITS edits; of lines that have such an earlier one, one pair at least.
     ``firsts``: (line, line2, first, n)."""
-    rows = texts.mapInArrow(_keys, "word bigint, line bigint")
+    rows = texts.mapInArrow(lean(_keys), "word bigint, line bigint")
     rows = rows.repartition(F.shiftright("word", 20)).sortWithinPartitions("word", "line")
-    found = written(rows.mapInArrow(lambda batches: _candidates(batches, big), _FOUND), "lines-found")
+    found = written(rows.mapInArrow(lean(lambda batches: _candidates(batches, big)), _FOUND), "lines-found")
     cand = written(found.where("heavy IS NULL").select("a", "b").distinct(), "lines-candidates")
     heavy = found.where("heavy IS NOT NULL").select("heavy", "block", F.col("b").alias("line")).distinct()
     wanted = written(cand.select(F.explode(F.array("a", "b")).alias("line")).unionByName(heavy.select("line")).distinct(), "lines-wanted")
     if wanted.count() <= WANTED_ROWS:
         near = texts.sparkSession.sparkContext.broadcast(np.sort(wanted.toPandas()["line"].to_numpy(np.int64)))
-        lines = texts.mapInArrow(_texts(near), "line bigint, bytes binary, line2 bigint")
+        lines = texts.mapInArrow(lean(_texts(near)), "line bigint, bytes binary, line2 bigint")
     else:
-        lines = texts.mapInArrow(_texts(None), "line bigint, bytes binary, line2 bigint").join(wanted, "line", "left_semi")
+        lines = texts.mapInArrow(lean(_texts(None)), "line bigint, bytes binary, line2 bigint").join(wanted, "line", "left_semi")
     held = written(lines.groupBy("line").agg(F.min(F.struct("bytes", "line2")).alias("x")).select("line", "x.bytes", "x.line2"), "lines-texts")
     left, right = (held.select(F.col("line").alias(k), F.col("line2").alias(f"{k}2"), F.col("bytes").alias(f"t{k}")) for k in "ab")
-    out = cand.join(left, "a").join(right, "b").select("a", "a2", "b", "b2", "ta", "tb").mapInArrow(_verified, "a bigint, a2 bigint, b bigint, b2 bigint")
+    out = cand.join(left, "a").join(right, "b").select("a", "a2", "b", "b2", "ta", "tb").mapInArrow(lean(_verified), "a bigint, a2 bigint, b bigint, b2 bigint")
     if heavy.isEmpty():
         return out
     parts = heavy.groupBy("heavy").agg((F.max("block") + 1).alias("k"))
@@ -356,13 +356,13 @@ def near_lines(texts: DataFrame, firsts: DataFrame, big: int = BIG) -> DataFrame
     tasks = heavy.join(parts, "heavy").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     tasks = tasks.select(F.xxhash64("heavy", F.least("block", "other"), F.greatest("block", "other")).alias("task"), "block", "line").join(known, "line")
     inside = tasks.select("task", "block", "line", "line2", "bytes", "first").repartition("task").sortWithinPartitions("task", "first", "line").drop("first")
-    return out.unionByName(inside.mapInArrow(_settled, "a bigint, a2 bigint, b bigint, b2 bigint"))
+    return out.unionByName(inside.mapInArrow(lean(_settled), "a bigint, a2 bigint, b bigint, b2 bigint"))
 
 
 def removed(docs: DataFrame, big: int = BIG) -> DataFrame:
     """(doc_id, numbers, lines): the removed lines of every document that loses one."""
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", lowered(F.col("text")).alias("__l_text"))
-    at = written(texts.mapInArrow(_lines, f"line bigint, line2 bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, number int"), "lines-at")
+    at = written(texts.mapInArrow(lean(_lines), f"line bigint, line2 bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, number int"), "lines-at")
     firsts = written(at.groupBy("line", "line2").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.count("*").alias("n")), "lines-firsts")
     near = written(near_lines(texts, firsts, big), "lines-near")
     involved = small(near.select(F.explode(F.array(F.struct(F.col("a").alias("line"), F.col("a2").alias("line2")), F.struct(F.col("b").alias("line"), F.col("b2").alias("line2")))).alias("x")).select("x.*").distinct(), "lines-involved", WANTED_ROWS)
@@ -405,7 +405,7 @@ def deduped(docs: DataFrame) -> DataFrame:
                 cols[at] = pa.compute.replace_with_mask(cols[at], pa.array(mask), pa.array(new, cols[at].type))
             yield pa.RecordBatch.from_arrays([*cols, pa.array(gone)], names=[f.name for f in schema.fields])
 
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(lean(run), schema)
 
 
 def filtered(docs: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Slices, added, grouped, lowered, mix, read, small, word_spans, written
+from .common import Slices, added, grouped, lean, lowered, mix, read, small, word_spans, written
 
 SHINGLE = 3
 BAND_ROWS = 3
@@ -221,15 +221,15 @@ def _firsts(key: str, alone: bool):
 def buckets(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """((band, id, first) of buckets of two or more, pairs (a, b) of the firsts of salted ones)."""
     spark = reps.sparkSession
-    seen = reps.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).mapInArrow(_banded(None, False), "band bigint, id bigint")
+    seen = reps.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).mapInArrow(lean(_banded(None, False)), "band bigint, id bigint")
     top = seen.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") >= HEAVY).orderBy(F.desc("n"), "band").limit(HEAVY_KEYS).toPandas().sort_values("band")
     out = "band bigint, id bigint, first bigint"
     if not len(top):
-        return written(grouped(reps.mapInArrow(_banded(None, False), "band bigint, id bigint"), "band", out, _firsts("band", False)), "near-buckets"), None
+        return written(grouped(reps.mapInArrow(lean(_banded(None, False)), "band bigint, id bigint"), "band", out, _firsts("band", False)), "near-buckets"), None
     parts = -(-top["n"].to_numpy(np.int64) // HEAVY)
     heavy = spark.sparkContext.broadcast((top["band"].to_numpy(np.int64), parts.astype(np.uint64)))
-    light = grouped(reps.mapInArrow(_banded(heavy, False), "band bigint, id bigint"), "band", out, _firsts("band", False))
-    salted = grouped(reps.mapInArrow(_banded(heavy, True), "key bigint, band bigint, id bigint"), "key", out, _firsts("key", True))
+    light = grouped(reps.mapInArrow(lean(_banded(heavy, False)), "band bigint, id bigint"), "band", out, _firsts("band", False))
+    salted = grouped(reps.mapInArrow(lean(_banded(heavy, True)), "key bigint, band bigint, id bigint"), "key", out, _firsts("key", True))
     salted = written(salted, "near-salted")
     heads = salted.select("band", "first").distinct()
     cross = heads.join(heads.groupBy("band").agg(F.min("first").alias("a")), "band").where("a <> first").select("a", F.col("first").alias("b")).distinct()
@@ -346,11 +346,11 @@ def _verify(batches):
 def _judged(pairs: DataFrame, reps: DataFrame, texts: DataFrame, named: DataFrame) -> DataFrame:
     """(a, b, similarity) of the pairs that pass the screen."""
     left, right = reps.select(F.col("id").alias("a"), F.col("sig").alias("x")), reps.select(F.col("id").alias("b"), F.col("sig").alias("y"))
-    edges = written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_agree, "a bigint, b bigint"), "near-edges")
+    edges = written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(lean(_agree), "a bigint, b bigint"), "near-edges")
     sets = shingled(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), texts, named)
     sides = [sets.select(F.col("id").alias(k), F.col("s").alias(f"s{k}"), F.col("n").alias(f"n{k}")) for k in "ab"]
     both = edges.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "na", "sb", "nb")
-    return written(both.mapInArrow(_verify, "a bigint, b bigint, similarity double"), "near-judged")
+    return written(both.mapInArrow(lean(_verify), "a bigint, b bigint, similarity double"), "near-judged")
 
 
 def shingled(ids: DataFrame, texts: DataFrame, named: DataFrame) -> DataFrame:

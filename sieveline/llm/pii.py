@@ -50,7 +50,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import names as N
-from .common import chunks, read, small, string_buffer, sums, written
+from .common import chunks, lean, read, small, string_buffer, sums, written
 
 #: Default key; production passes its own.
 KEY = b"sieveline surrogate key"
@@ -450,7 +450,7 @@ def _entities(docs: DataFrame) -> DataFrame:
             at, kind, entity, gender = (list(x) for x in zip(*rows)) if rows else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *[pa.array(x, pa.string()) for x in (kind, entity, gender)]], names=["doc_id", *_KEY])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_ENTITY}").distinct()
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_ENTITY}").distinct()
 
 
 def _with_surrogate(table: DataFrame, key: bytes) -> DataFrame:
@@ -536,7 +536,7 @@ def replaced(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             cols[at] = col
             yield pa.RecordBatch.from_arrays([*cols, pa.array(count)], names=[f.name for f in schema.fields])
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(lean(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
