@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,9 +22,20 @@ def over(spark: SparkSession, statement, **tables: DataFrame) -> DataFrame:
             spark.catalog.dropTempView(n)
 
 
+def needed(steps: list[tuple[str, str]], last: str) -> list[tuple[str, str]]:
+    """The steps that ``last`` refers to, directly or through others: the analyser takes time for every step it is given."""
+    by, found, todo = dict(steps), set(), [last]
+    while todo:
+        more = {w for w in re.findall(r"\w+", todo.pop()) if w in by} - found
+        found |= more
+        todo += [by[w] for w in more]
+    return [x for x in steps if x[0] in found]
+
+
 def chain(steps: list[tuple[str, str]], last: str) -> str:
-    """``WITH`` the named steps, then ``last``."""
-    return "WITH " + ",\n".join(f"{n} AS ({s})" for n, s in steps) + f"\n{last}"
+    """``WITH`` the named steps that ``last`` needs, then ``last``."""
+    steps = needed(steps, last)
+    return ("WITH " + ",\n".join(f"{n} AS ({s})" for n, s in steps) + "\n" if steps else "") + last
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -169,3 +169,28 @@ def test_masks_and_keys(spark):
     keys = spark.createDataFrame([("dbPassword",), ("api_key",), ("userName",), ("xai",), ("maxaim",)], "k string")
     got = [r[0].split("|")[1:] for r in keys.select(F.expr(T.key_score(SPARK, "k"))).collect()]
     assert got[0] == ["definitive", "OPAQUE_SECRET"] and got[1] == ["definitive", "API_KEY"] and got[2][0] == "" and got[3] == ["contextual", "API_KEY"] and got[4][0] == ""
+
+
+def test_own_profile_patterns_and_models(spark):
+    """A profile, a pattern with known false positives and moved confidence, per-value findings and a second-stage model."""
+    from sieveline.patterns import content_patterns
+    from sieveline.sources.profiles import profile_from_dict
+
+    rules = profile_from_dict({"profiles": {"standard": {"rules": [{"entity_type": "LOYALTY_ID", "category": "PII", "sensitivity": "LOW", "confidence": 0.6, "regulatory": ["GDPR"], "patterns": ["^club"]}]}}})
+    base = next(p for p in content_patterns() if p.name == "email_address")
+    own = (base._replace(name="code", entity_type="CODE", regex="[A-Z]{3}[0-9]{3}", validator="", confidence=0.6, allow=("^TST",), stop=("abc123",), boost=("code",), suppress=("not",)),)
+    cols = columns(spark, "club_no", "alpha", "beta", "gamma")
+    vals = samples(spark, club_no=["1", "2"], alpha=["my code XYZ777"] * 8, beta=["TST123", "ABC123", "QQQ111 not"] * 4, gamma=["TST001"] * 8)
+    got = {r.column_id: (r.entity_type, round(r.confidence, 4), r.matched) for r in C.classify(cols, vals, 0.0, rules=rules, patterns=own).collect()}
+    assert got["t.club_no"][0] == "LOYALTY_ID" and got["t.alpha"] == ("CODE", 0.9, 8) and got["t.beta"] == ("CODE", round(0.3 * 0.95, 4), 4) and "t.gamma" not in got
+    said = spark.createDataFrame([("t.alpha", "SSN", 0.95), ("t.gamma", "SSN", 0.99)], "column_id string, entity_type string, confidence double")
+    first = {r.column_id: (r.entity_type, r.engine) for r in C.classify(cols, vals, 0.0, patterns=own, predicted=said).where("place = 1").collect()}
+    assert first["t.alpha"] == ("SSN", "second_stage") and "t.gamma" not in first
+
+
+def test_only_needed_steps_are_stated():
+    from sieveline.plans.sql import chain
+
+    steps = [("a", "SELECT 1 AS x"), ("b", "SELECT * FROM a"), ("c", "SELECT * FROM b"), ("d", "SELECT * FROM c")]
+    assert chain(steps, "SELECT * FROM b") == "WITH a AS (SELECT 1 AS x),\nb AS (SELECT * FROM a)\nSELECT * FROM b"
+    assert chain(steps, "SELECT 2") == "SELECT 2"

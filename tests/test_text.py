@@ -173,3 +173,33 @@ def test_profiles_and_events(spark):
     e = profiles.Emitter(lambda x: 1 / 0, seen.append)
     e.emit({"a": 1})
     assert seen == [{"a": 1}] and profiles.entity_types(spark).count() > 30 and profiles.pattern_table(spark).count() == len(profiles.content_patterns())
+
+
+@pytest.mark.parametrize("unit", ["a", "-", "_a", "aB3+/x", "1", "\n", "\n    ", 'a="', "a: ", '"', "-----BEGIN A-----", "eyJ", "a(", "{", "a.b", "int ", "select a "])
+def test_long_runs_take_linear_time(unit):
+    import time
+
+    from sieveline.operators import spans, zones
+
+    text = "x=1; {}()[] " * 20 + unit * (1_000_000 // len(unit))
+    for f, n in ((spans.candidates, len(text)), (zones.zones, len(text) // 8)):
+        took = time.process_time()
+        f(text[:n])
+        assert time.process_time() - took < 10, f
+
+
+def test_no_assignments_from_stack_traces():
+    from sieveline.operators import spans
+
+    text = 'Traceback (most recent call last):\nValueError: password = "hunter2hunter2"\nat a.b.C(x): token = "abcdefghij12"\npassword = "hunter2hunter2"\n  panic: key="abcdefghij12"\nerror: secret = "abcdefghij12"'
+    assert {(k, v, s) for kind, _, k, v, s, _ in spans.candidates(text) if kind == "kv"} == {("password", "hunter2hunter2", text.rindex("hunter2hunter2")), ("secret", "abcdefghij12", text.rindex("abcdefghij12"))}
+
+
+def test_key_blocks_end_at_their_own_label():
+    from sieveline.operators import spans
+
+    key = lambda x: f"-----BEGIN {x}-----\nMIIabc\n-----END {x}-----"
+    text = f"a {key('RSA PRIVATE KEY')} b -----BEGIN X----- {key('CERTIFICATE')} -----END Y----- {key('PRIVATE KEY')}"
+    assert [text[a:b] for a, b, _ in spans.key_blocks(text)] == [key("RSA PRIVATE KEY"), key("CERTIFICATE"), key("PRIVATE KEY")]
+    shown = [v for kind, _, _, v, *_ in spans.candidates(text) if kind == "pem"]
+    assert shown == ["-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----"]
