@@ -39,12 +39,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(2 * cores)
 
 
+#: Queries whose expressions cost far more than moving their rows: small tables are dealt out to all cores.
+COSTLY = {"content_match_whole", "pii_spans_by_pattern", "not_secret_rules", "opaque_tokens", "assignments", "string_measures", "entropy_per_doc", "content_allowlist_context"}
+
+
 def run(name: str) -> Callable[[SparkSession, str], DataFrame]:
     tables, f = SQL[name]
     if name in STAGED:
         steps, last = STAGED[name](SPARK, **{t: t for t in tables})
         return lambda spark, sf_dir: staged(spark, steps, last, ("made_samples", *passes.CUTS), **{t: read(spark, sf_dir, t) for t in tables})
-    return lambda spark, sf_dir: over(spark, lambda **v: f(SPARK, **v), **{t: read(spark, sf_dir, t) for t in tables})
+    given = spread if name in COSTLY else lambda df: df
+    return lambda spark, sf_dir: over(spark, lambda **v: f(SPARK, **v), **{t: given(read(spark, sf_dir, t)) for t in tables})
 
 
 #: Columns that are sums of integers, which one dialect has as 64 bits and the other as 128.
