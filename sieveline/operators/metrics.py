@@ -19,8 +19,12 @@ def family_steps(q: Dialect, predicted: str, truth: str) -> list[tuple[str, str]
     ]
 
 
-def collision_matrix(findings: str) -> str:
-    """How often two types are given to one column."""
+def collision_matrix(q: Dialect, findings: str) -> str:
+    """How often two types are given to one column. The engine joins the types of a column, each once: rows grow with
+    the kinds of findings, not with the square of their number."""
+    if q.spark:
+        kinds = f"(SELECT DISTINCT column_id, entity_type FROM {findings} WHERE column_id IS NOT NULL AND entity_type IS NOT NULL)"
+        return f"SELECT a.entity_type AS one, b.entity_type AS other, count(*) AS n FROM {kinds} a JOIN {kinds} b ON a.column_id = b.column_id AND a.entity_type < b.entity_type GROUP BY a.entity_type, b.entity_type"
     return f"SELECT a.entity_type AS one, b.entity_type AS other, count(DISTINCT a.column_id) AS n FROM {findings} a JOIN {findings} b ON a.column_id = b.column_id AND a.entity_type < b.entity_type GROUP BY a.entity_type, b.entity_type"
 
 

@@ -120,7 +120,7 @@ def _(q, events):
 
 @sql("collision_matrix", "events")
 def _(q, events):
-    return chain([("given", _random_findings(q, events))], metrics.collision_matrix("given"))
+    return chain([("given", _random_findings(q, events))], metrics.collision_matrix(q, "given"))
 
 
 @sql("confidence_buckets", "events")
