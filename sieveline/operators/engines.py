@@ -82,6 +82,9 @@ def screened(q: Dialect, regex: str) -> str:
     return " AND ".join([f"size_ >= {size}"] + ([f"digits_ >= {n}"] if n else []) + ([T.contains_any(q, "low_", parts)] if parts else []))
 
 
+_NO_STOPWORD = lambda q: f"NOT {q.any_in('lower(trim(value))', stopwords())}"
+
+
 def by_content(q: Dialect, columns: str, samples: str, patterns=None, evidence: bool = True) -> list[tuple[str, str]]:
     """Values against the content patterns: matches, validated matches and confidence, moved by the words beside the matches.
     ``evidence``: keep the first five matches, for samples, which are bounded; over whole tables it is left out."""
@@ -100,7 +103,7 @@ def by_content(q: Dialect, columns: str, samples: str, patterns=None, evidence:
     return [
         ("cv", f"SELECT column_id, pos, value, {screen_columns(q, 'value')} FROM {samples} WHERE value IS NOT NULL"),
         ("cn", "SELECT column_id, count(*) AS scanned FROM cv GROUP BY column_id"),
-        ("ch", f"SELECT column_id, pos, value, {q.explode(q.filter(hits, 'x_', keep))} AS p FROM cv WHERE NOT {q.any_in('lower(trim(value))', stopwords())}"),
+        ("ch", f"SELECT column_id, pos, value, {q.explode(q.filter(hits, 'x_', keep))} AS p FROM cv WHERE {_NO_STOPWORD(q)}"),
         ("ck", f"SELECT h.*, {valid} AS valid FROM ch h JOIN {columns} c ON h.column_id = c.column_id WHERE {gate}{' AND NOT (' + ' OR '.join(known_false) + ')' if known_false else ''}"),
         ("ca", f"SELECT column_id, p, count(*) AS matched, sum(CASE WHEN valid THEN 1 ELSE 0 END) AS validated, {q.double(moved)} AS moved_, {q.collect('value', 'pos', 5) if evidence else q.texts([])} AS matches FROM ck GROUP BY column_id, p"),
         ("cc", f"SELECT a.*, d.*, base * (CASE WHEN validated < matched THEN CAST(validated AS DOUBLE) / matched ELSE CAST(1 AS DOUBLE) END) AS raw FROM ca a JOIN {q.values(rows, ['id', 'name', 'entity_type', 'category', 'sensitivity', 'base', 'checked'])} d ON a.p = d.id"),
@@ -108,6 +111,11 @@ def by_content(q: Dialect, columns: str, samples: str, patterns=None, evidence:
     ]
 
 
+def searched_values(q: Dialect) -> str:
+    """After the steps of ``by_content``: the values that its step ``ch`` matches, which ``matches.with_hits`` does for whole tables."""
+    return f"SELECT column_id, pos, value FROM cv WHERE {_NO_STOPWORD(q)}"
+
+
 def by_statistics(q: Dialect, least: float = 0.5) -> list[tuple[str, str]]:
     """Nine-digit columns: many different values are SSNs, few repeated ones routing numbers. Needs ``profile``."""
     ssn, aba = "least(CAST(0.95 AS DOUBLE), 0.7 + 0.15 * cardinality)", "least(CAST(0.9 AS DOUBLE), 0.75 + 0.1 * (1 - cardinality))"

@@ -12,7 +12,7 @@ from ..functions.dialect import DUCK, SPARK, Dialect
 from ..model import FAMILY, case
 from ..operators import classify as C
 from ..patterns import content_patterns
-from ..operators import engines, passes, profile, rollup
+from ..operators import engines, matches, passes, profile, rollup
 from ..sources.columns import long_sql, sample_sql
 from .sql import chain, over, staged
 
@@ -49,9 +49,36 @@ def run(name: str) -> Callable[[SparkSession, str], DataFrame]:
         steps, last = STAGED[name](SPARK, **{t: t for t in tables})
         return lambda spark, sf_dir: staged(spark, steps, last, ("made_samples", *passes.CUTS), **{t: read(spark, sf_dir, t) for t in tables})
     given = spread if name in COSTLY else lambda df: df
+    if name in MATCHED:
+        patterns, parts = MATCHED[name]
+        return lambda spark, sf_dir: matched(spark, *parts(SPARK, **{t: t for t in tables}), patterns(), **{t: given(read(spark, sf_dir, t)) for t in tables})
     return lambda spark, sf_dir: over(spark, lambda **v: f(SPARK, **v), **{t: given(read(spark, sf_dir, t)) for t in tables})
 
 
+#: Queries that match patterns over whole tables: (patterns, (steps, last statement) by dialect)
+MATCHED: dict[str, tuple[Callable, Callable]] = {}
+
+
+def matched(spark: SparkSession, steps: list[tuple[str, str]], last: str, patterns, **tables: DataFrame) -> DataFrame:
+    """``chain(steps, last)`` of steps with ``engines.by_content``, the matching of values done a batch at a time. The steps refer to ``tables`` by their names."""
+
+    def run(text: str, **held: DataFrame) -> DataFrame:
+        return over(spark, lambda **v: chain([(k, f"SELECT * FROM {x}") for k, x in v.items()] + [s for s in steps if s[0] not in v], text), **tables, **held)
+
+    return run(last, ch=matches.with_hits(run(engines.searched_values(SPARK)), patterns))
+
+
+def over_whole(name: str, patterns: Callable):
+    """Registers ``parts(q, **tables) -> (steps, last statement)`` with patterns matched over all values."""
+
+    def keep(parts):
+        MATCHED[name] = (patterns, parts)
+        SQL[name] = (MADE_TABLES, lambda q, **t: chain(*parts(q, **t)))
+        return parts
+
+    return keep
+
+
 #: Columns that are sums of integers, which one dialect has as 64 bits and the other as 128.
 SUMS: dict[str, list[str]] = {}
 
@@ -109,6 +136,9 @@ def made_columns(q: Dialect) -> str:
 
 
 def made_values(q: Dialect, t: dict[str, str]) -> str:
+    if q.spark:  # a table is read once for all its columns
+        of = lambda table: [f"'made.{c}', {f(k)}" for c, (at, k, f) in MADE.items() if at == table]
+        return " UNION ALL ".join(f"SELECT stack({len(of(n))}, {', '.join(of(n))}) AS (column_id, value) FROM {t[n]}" for n in MADE_TABLES)
     return _text(q, " UNION ALL ".join(f"SELECT 'made.{c}' AS column_id, {f(k)} AS value FROM {t[table]}" for c, (table, k, f) in MADE.items()))
 
 
@@ -268,11 +298,11 @@ def _(q, **t):
     return chain([*_made(q, t), *engines.by_content(q, "made_columns", "made_samples")], "SELECT column_id, detection_type, entity_type, round(confidence, 6) AS confidence, matched, validated, round(CAST(matched AS DOUBLE) / scanned, 6) AS match_ratio, matches[{}] AS first_match FROM by_content".format(0 if q.spark else 1))
 
 
-@sql("content_match_whole", *MADE_TABLES)
+@over_whole("content_match_whole", content_patterns)
 def _(q, **t):
     """The same over all values of the columns, no sample."""
     steps = [("made_columns", made_columns(q)), ("made_values", made_values(q, t)), ("all_values", "SELECT column_id, CAST(0 AS BIGINT) AS pos, value FROM made_values"), *engines.by_content(q, "made_columns", "all_values", evidence=False)]
-    return chain(steps, "SELECT column_id, detection_type, entity_type, round(confidence, 6) AS confidence, matched, validated, scanned FROM by_content")
+    return steps, "SELECT column_id, detection_type, entity_type, round(confidence, 6) AS confidence, matched, validated, scanned FROM by_content"
 
 
 _OWN_RULES = (("LOYALTY_ID", "PII", "LOW", 0.6, ("GDPR",), (r"(?:^|_)(?:loyalty|club|member)(?:_|$)",)), ("CUSTOMER_NAME", "PII", "MEDIUM", 0.7, ("GDPR", "CCPA"), (r"^c_name$", r"cust.*name")), ("ANY_NAME", "PII", "LOW", 0.55, ("GDPR",), ("name$",)))
@@ -296,11 +326,11 @@ def _own_patterns():
     )
 
 
-@sql("content_allowlist_context", *MADE_TABLES)
+@over_whole("content_allowlist_context", _own_patterns)
 def _(q, **t):
     """Patterns with known false positives, placeholders of their own, and words that move their confidence, over all values."""
     steps = [("made_columns", made_columns(q)), ("made_values", made_values(q, t)), ("all_values", "SELECT column_id, CAST(0 AS BIGINT) AS pos, value FROM made_values"), *engines.by_content(q, "made_columns", "all_values", _own_patterns(), evidence=False)]
-    return chain(steps, "SELECT column_id, detection_type, entity_type, round(confidence, 6) AS confidence, matched, validated, scanned FROM by_content")
+    return steps, "SELECT column_id, detection_type, entity_type, round(confidence, 6) AS confidence, matched, validated, scanned FROM by_content"
 
 
 @sql("trace_lines", "orders")

@@ -1,7 +1,11 @@
 """Plans that grow with the input and no faster, and that keep the results."""
 
+import re
+
 from sieveline.functions.dialect import SPARK
-from sieveline.operators import metrics
+from sieveline.operators import matches, metrics
+from sieveline.patterns import content_patterns
+from sieveline.plans import catalogue
 from sieveline.plans.sql import over
 
 
@@ -13,3 +17,20 @@ def test_collisions_join_each_type_of_a_column_once(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     sides = plan[plan.index("Join Inner") :]
     assert sides.count("Aggregate") == 2
+
+
+def test_batches_of_values_match_as_single_values_do(spark, monkeypatch):
+    monkeypatch.setattr(matches, "ROWS", 3)
+    values = [None, "", "é", "078-05-1120", "user1@mail1.org and user2@mail2.org", "key ghp_" + "aB3d" * 9, "4111-1111-1111-1111", "Straße 10.20.30.40", "K\u212a 1950-03-14", "-----BEGIN RSA PRIVATE KEY-----", "https://a.example/x", "1EG4-TE5-MK73 " * 40] * 3
+    ps = content_patterns()
+    plain = [re.compile(("(?i)" if "(?i)" in p.regex else "") + p.regex.replace("(?i)", "").replace("%b", r"\b"), re.ASCII) for p in ps]
+    df = spark.createDataFrame(list(enumerate(values)), "id int, value string").coalesce(1)
+    got = matches.with_hits(df, ps)
+    assert got.columns == ["id", "value", "p"]
+    assert sorted((r.id, r.p) for r in got.collect()) == sorted((i, k) for i, v in enumerate(values) if v is not None for k, p in enumerate(plain) if p.search(v))
+    assert matches.with_hits(df.where("false"), ps).collect() == []
+
+
+def test_whole_tables_are_matched_in_batches(spark):
+    plan = catalogue.run("content_match_whole")(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("] parquet") == 8  # four tables, for matches and for counts
