@@ -1,7 +1,10 @@
 """Plans that grow with the input and no faster, and that keep the results."""
 
+import math
 import re
+from collections import Counter
 
+from sieveline.functions import text as T
 from sieveline.functions.dialect import SPARK
 from sieveline.operators import matches, metrics
 from sieveline.patterns import content_patterns
@@ -34,3 +37,12 @@ def test_batches_of_values_match_as_single_values_do(spark, monkeypatch):
 def test_whole_tables_are_matched_in_batches(spark):
     plan = catalogue.run("content_match_whole")(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and plan.count("] parquet") == 8  # four tables, for matches and for counts
+
+
+def test_entropy_takes_one_pass_over_the_text(spark):
+    texts = ["", "a", "aaaa", "ab\nab\n", "häß 😀😀é", "".join(chr(0x4E00 + k % 15000) for k in range(30000)), "x" * 50000 + "y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, v string").selectExpr("id", f"{T.entropy(SPARK, 'v')} AS h")
+    for r in df.collect():
+        n = len(texts[r.id])
+        assert math.isclose(r.h, sum(-c / n * math.log2(c / n) for c in Counter(texts[r.id]).values()), abs_tol=1e-9)
+    assert "replace(" not in df._jdf.queryExecution().optimizedPlan().toString()
