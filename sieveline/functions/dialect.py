@@ -143,6 +143,10 @@ class Dialect:
         """One row for each element, in a select list."""
         return f"explode({a})" if self.spark else f"unnest({a})"
 
+    def once(self, x: str) -> str:
+        """A value of a select list that later filters do not compute again below it, together with all it is made of."""
+        return f"explode(array({x}))" if self.spark else x
+
     def array(self, items) -> str:
         return f"array({', '.join(items)})" if self.spark else f"[{', '.join(items)}]"
 

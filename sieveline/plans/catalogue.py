@@ -40,7 +40,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 #: Queries whose expressions cost far more than moving their rows: small tables are dealt out to all cores.
-COSTLY = {"content_match_whole", "pii_spans_by_pattern", "not_secret_rules", "opaque_tokens", "assignments", "string_measures", "entropy_per_doc", "content_allowlist_context"}
+COSTLY = {"content_match_whole", "pii_spans_by_pattern", "not_secret_rules", "opaque_tokens", "opaque_tokens_made", "assignments", "string_measures", "entropy_per_doc", "content_allowlist_context"}
 
 
 def run(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -249,7 +249,7 @@ SUMS["not_secret_rules"] = [*T.NOT_SECRET, "placeholder"]
 def _(q, documents):
     """Bare tokens that look like secrets."""
     bare = q.replace("token", r"""^["'`]+|["'`,.;:!?)\]}]+$""")
-    steps = [("t", _tokens(q, documents)), ("b", f"SELECT doc_id, {bare} AS token FROM t"), ("d", "SELECT doc_id, token, count(*) AS n FROM b WHERE length(token) >= 16 GROUP BY doc_id, token"), ("m", f"SELECT *, {T.measures(q, 'token')} FROM d"), ("s", f"SELECT *, {T.opaque_confidence(q, 'token')} AS conf FROM m")]
+    steps = [("t", _tokens(q, documents)), ("b", f"SELECT doc_id, {bare} AS token FROM t"), ("d", "SELECT doc_id, token, count(*) AS n FROM b WHERE length(token) >= 16 GROUP BY doc_id, token"), ("m", f"SELECT *, {T.measures(q, 'token')} FROM d"), ("s", f"SELECT *, {q.once(T.opaque_confidence(q, 'token'))} AS conf FROM m")]
     return chain(steps, f"SELECT doc_id, {T.mask_text(q, 'token')} AS masked, n, round(conf, 4) AS confidence FROM s WHERE conf > 0")
 
 

@@ -55,7 +55,7 @@ def _(q, customer):
     """Bare tokens made from keys: random ones, hexadecimal ones, names and identifiers."""
     forms = ["concat(upper(substr(md5(CAST(c_custkey AS STRING)), 1, 12)), 'xYz_', substr(md5(CAST(c_custkey + 1 AS STRING)), 1, 14), 'Qw-Rt')", "md5(CAST(c_custkey AS STRING))", "concat('com.example.module.name', CAST(c_custkey AS STRING))", "concat('aB3', substr(md5(CAST(c_custkey AS STRING)), 1, 20), 'Zq')", "concat('test_', md5(CAST(c_custkey AS STRING)), 'AbC-')", "'aaaaaaaaaaaaaaaaaaaaaaaa'"]
     token = f"CASE c_custkey % {len(forms)} " + " ".join(f"WHEN {k} THEN {f}" for k, f in enumerate(forms)) + " END"
-    steps = [("b", f"SELECT c_custkey, {token} AS token FROM {customer}"), ("m", f"SELECT *, {T.measures(q, 'token')} FROM b"), ("s", f"SELECT *, {T.opaque_confidence(q, 'token')} AS conf FROM m")]
+    steps = [("b", f"SELECT c_custkey, {token} AS token FROM {customer}"), ("m", f"SELECT *, {T.measures(q, 'token')} FROM b"), ("s", f"SELECT *, {q.once(T.opaque_confidence(q, 'token'))} AS conf FROM m")]
     return _text(q, chain(steps, f"SELECT c_custkey, {T.mask_text(q, 'token')} AS masked, round(conf, 4) AS confidence FROM s WHERE conf > 0"))
 
 

@@ -46,3 +46,16 @@ def test_entropy_takes_one_pass_over_the_text(spark):
         n = len(texts[r.id])
         assert math.isclose(r.h, sum(-c / n * math.log2(c / n) for c in Counter(texts[r.id]).values()), abs_tol=1e-9)
     assert "replace(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_filters_do_not_repeat_what_a_score_is_made_of(spark):
+    plan = catalogue.queries()["opaque_tokens_made"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert filters and not any("md5(" in line or "aggregate(" in line for line in filters)
+
+
+def test_runs_of_equal_characters_are_placeholders(spark):
+    chars = [chr(c) for c in range(32, 127)] + ["é"]
+    df = spark.createDataFrame([(c, f"ä{c * n}ß", n) for c in chars for n in (7, 8) if c.lower() != "x"], "c string, v string, n int")
+    got = {(r.c, r.n): r.hit for r in df.selectExpr("c", "n", f"{T.placeholder(SPARK, 'v')} AS hit").collect()}
+    assert all(hit == (n == 8 and c not in "\\é") for (c, n), hit in got.items())
