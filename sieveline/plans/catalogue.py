@@ -238,8 +238,10 @@ def _tokens(q, documents):
 @sql("not_secret_rules", "documents")
 def _(q, documents):
     """How many tokens each rule of "obviously no secret" holds for."""
-    flags = ", ".join(f"sum(CAST({T.not_secret_rule(q, n, 'token')} AS INT)) AS {n}" for n in T.NOT_SECRET)
-    return chain([("t", _tokens(q, documents))], f"SELECT count(*) AS tokens, {flags}, sum(CAST({T.placeholder(q, 'token')} AS INT)) AS placeholder FROM t")
+    flags = lambda n: ", ".join(f"sum({n}CAST({test} AS INT)) AS {name}" for name, test in [*((x, T.not_secret_rule(q, x, "token")) for x in T.NOT_SECRET), ("placeholder", T.placeholder(q, "token"))])
+    if q.spark:  # the rules are tried once for each distinct token
+        return chain([("t", _tokens(q, documents)), ("d", "SELECT token, count(*) AS n FROM t GROUP BY token")], f"SELECT coalesce(sum(n), 0) AS tokens, {flags('n * ')} FROM d")
+    return chain([("t", _tokens(q, documents))], f"SELECT count(*) AS tokens, {flags('')} FROM t")
 
 
 SUMS["not_secret_rules"] = [*T.NOT_SECRET, "placeholder"]

@@ -59,3 +59,15 @@ def test_runs_of_equal_characters_are_placeholders(spark):
     df = spark.createDataFrame([(c, f"ä{c * n}ß", n) for c in chars for n in (7, 8) if c.lower() != "x"], "c string, v string, n int")
     got = {(r.c, r.n): r.hit for r in df.selectExpr("c", "n", f"{T.placeholder(SPARK, 'v')} AS hit").collect()}
     assert all(hit == (n == 8 and c not in "\\é") for (c, n), hit in got.items())
+
+
+def test_rules_are_tried_once_for_each_distinct_token(spark, tmp_path):
+    docs = [(1, "https://a.example/x 2020-01-01 2020-01-01 short"), (2, "2020-01-01\n<your-key-here>"), (3, None), (4, "")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/some/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    df = catalogue.run("not_secret_rules")(spark, f"{tmp_path}/some")
+    r = df.first()
+    assert (r.tokens, r.url, r.date, r.placeholder) == (5, 1, 3, 2)
+    assert "Aggregate [token" in df._jdf.queryExecution().optimizedPlan().toString()
+    r = catalogue.run("not_secret_rules")(spark, f"{tmp_path}/none").first()
+    assert (r.tokens, r.url) == (0, None)
