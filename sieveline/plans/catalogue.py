@@ -146,7 +146,7 @@ MADE_TABLES = ("customer", "orders", "part", "supplier")
 
 
 def _made(q: Dialect, t: dict[str, str]) -> list[tuple[str, str]]:
-    return [("made_columns", made_columns(q)), ("made_values", made_values(q, t)), ("made_samples", sample_sql("made_values"))]
+    return [("made_columns", made_columns(q)), ("made_values", made_values(q, t)), ("made_samples", sample_sql(q, "made_values"))]
 
 
 # -- sources ------------------------------------------------------------------------------------------
@@ -154,7 +154,7 @@ def _made(q: Dialect, t: dict[str, str]) -> list[tuple[str, str]]:
 def _(q, **t):
     """The sample of every column: 100 values of least md5."""
     long = " UNION ALL ".join(f"SELECT * FROM ({long_sql(q, n, t[n], cs)}) AS l_{n}" for n, cs in PLAIN.items())
-    return chain([("long", long)], sample_sql("long"))
+    return chain([("long", long)], sample_sql(q, "long"))
 
 
 @sql("user_prompts", "conversations")

@@ -1,5 +1,6 @@
 """Plans that grow with the input and no faster, and that keep the results."""
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -10,6 +11,7 @@ from sieveline.operators import matches, metrics
 from sieveline.patterns import content_patterns
 from sieveline.plans import catalogue
 from sieveline.plans.sql import over
+from sieveline.sources import columns as S
 
 
 def test_collisions_join_each_type_of_a_column_once(spark):
@@ -71,3 +73,13 @@ def test_rules_are_tried_once_for_each_distinct_token(spark, tmp_path):
     assert "Aggregate [token" in df._jdf.queryExecution().optimizedPlan().toString()
     r = catalogue.run("not_secret_rules")(spark, f"{tmp_path}/none").first()
     assert (r.tokens, r.url) == (0, None)
+
+
+def test_samples_rank_only_what_may_be_in_them(spark):
+    values = {"few": ["a", "b", "c"] * 70, "many": [str(k) for k in range(5000)], "short": ["x", "y", "y"], "mixed": [str(k % 40) for k in range(150)] + ["z" * 9] * 3}
+    long = spark.createDataFrame([(c, v) for c, vs in values.items() for v in vs], "column_id string, value string").repartition(3)
+    got = S.samples(long, 100)
+    want = {(c, k + 1, v) for c, vs in values.items() for k, v in enumerate(sorted(vs, key=lambda v: (hashlib.md5(v.encode()).hexdigest(), v))[:100])}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert [t for _, t in got.dtypes] == ["string", "int", "string"]
+    assert "row_number" not in got._jdf.queryExecution().optimizedPlan().toString() and S.samples(long.limit(0)).count() == 0
