@@ -129,18 +129,22 @@ def candidates(text: str) -> list[tuple]:
     return out
 
 
-def with_candidates(df: DataFrame, text: str, new: str = "__s_found") -> DataFrame:
-    """``df`` and the array of candidates of its text column."""
+def with_candidates(df: DataFrame, text: str, new: str = "__s_found", zoned: str | None = None) -> DataFrame:
+    """``df`` and the array of candidates of its text column; after its zones, if they have a name, in the same pass."""
     from pyspark.sql.types import StructType
 
+    from . import zones as Z
+
     at = df.columns.index(text)
-    schema = StructType([*df.schema.fields, *StructType.fromDDL(f"{new} {CANDIDATE}").fields])
+    schema = StructType([*df.schema.fields, *StructType.fromDDL((f"{zoned} {Z.BLOCK}, " if zoned else "") + f"{new} {CANDIDATE}").fields])
     names = ("kind", "name", "key", "value", "start", "end")
 
     def run(batches):
         for b in batches:
-            got = [None if t is None else [dict(zip(names, c)) for c in candidates(t)] for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, _ARROW)], names=schema.names)
+            texts = b.column(at).to_pylist()
+            more = [pa.array([None if t is None else Z.zones(t) for t in texts], Z._ARROW)] if zoned else []
+            got = [None if t is None else [dict(zip(names, c)) for c in candidates(t)] for t in texts]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more, pa.array(got, _ARROW)], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -174,9 +178,9 @@ def suppressed(spans: str) -> str:
     return f"array_sort({kept}, (l, r) -> CASE WHEN l.start < r.start THEN -1 WHEN l.start > r.start THEN 1 ELSE 0 END)"
 
 
-def scan_text(df: DataFrame, text: str = "text", min_confidence: float = 0.3, new: str = "findings") -> DataFrame:
+def scan_text(df: DataFrame, text: str = "text", min_confidence: float = 0.3, new: str = "findings", zoned: str | None = None) -> DataFrame:
     """``df`` with the array of findings of its text column."""
-    found = with_candidates(df, text).withColumn("__s_scored", F.expr(_findings("__s_found", min_confidence)))
+    found = with_candidates(df, text, zoned=zoned).withColumn("__s_scored", F.expr(_findings("__s_found", min_confidence)))
     return found.withColumn(new, F.expr(f"transform({suppressed('__s_scored')}, x_ -> named_struct('entity_type', x_.entity_type, 'detection_type', x_.detection_type, 'engine', x_.engine, 'confidence', x_.confidence, 'start', x_.start, 'end', x_.end, 'value_masked', x_.value_masked, 'evidence', x_.evidence))")).drop("__s_found", "__s_scored")
 
 
@@ -217,9 +221,9 @@ def detect(df: DataFrame, text: str = "text", secrets: bool = True, zones: bool
     """Zones, findings moved by their zones, and the redacted text, as columns of ``df``."""
     from .zones import with_zones
 
-    out = with_zones(df, text) if zones else df
+    out = with_zones(df, text) if zones and not secrets else df
     if secrets:
-        out = scan_text(out, text, min_confidence)
+        out = scan_text(out, text, min_confidence, zoned="zones" if zones else None)
         if zones:
             out = adjusted(out, text)
         out = out.withColumn("redacted", redacted(text, "findings", strategy))

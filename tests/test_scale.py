@@ -7,7 +7,7 @@ from collections import Counter
 
 from sieveline.functions import text as T
 from sieveline.functions.dialect import SPARK
-from sieveline.operators import matches, metrics
+from sieveline.operators import matches, metrics, spans, zones
 from sieveline.patterns import content_patterns
 from sieveline.plans import catalogue
 from sieveline.plans.sql import over
@@ -83,3 +83,13 @@ def test_samples_rank_only_what_may_be_in_them(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert [t for _, t in got.dtypes] == ["string", "int", "string"]
     assert "row_number" not in got._jdf.queryExecution().optimizedPlan().toString() and S.samples(long.limit(0)).count() == 0
+
+
+def test_zones_and_secrets_take_one_pass_of_the_text(spark):
+    texts = [None, "", "plain words", 'import os\nfor k in range(3):\n    print(k)\npassword = "hunter2Zq!7x"\n', "a,b;1 -2 $3.5 x4 ٣ +5% 6x\n" * 4]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    both = spans.detect(df)
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1 and both.columns == ["id", "text", "zones", "findings", "redacted"]
+    apart = spans.adjusted(spans.scan_text(zones.with_zones(df)))
+    assert sorted(map(str, both.select("id", "zones", "findings").collect())) == sorted(map(str, apart.select("id", "zones", "findings").collect()))
+    assert [zones.features(t.split("\n"))[k] for t in texts[4:] for k in ("numeric", "delimiter")] == [16 / 28, 0.0]
